@@ -44,7 +44,7 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
     """df with `shard` (int), `slot` (long) and `size` (long, UTF-8 bytes of the text plus 1), under the law `bytes`.
 
     Records are ordered by a hash of their text, so equal texts lie side by side, then by id; shard s takes the records
-    whose running size starts in the s-th n-th of the total. So a shard's bytes differ from an equal share by less than
+    whose middle lies in the s-th n-th of the total. So a shard's bytes differ from an equal share by less than
     its first and last record, and a hot text is split over as many shards as it fills.
     Null text: size 1. Empty table: no rows, same columns. Repeated rows: each is placed by itself; which of two equal
     rows gets which slot is immaterial. Columns of df named like a result are replaced.
@@ -82,7 +82,7 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
         """Cells are joined to their offsets after the window: the rows of a cell are summed once, in one task."""
         x = celled(x).withColumn("slot", F.row_number().over(order).cast("bigint")).withColumn("shard", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         x = x.join(base, cell).withColumn("slot", F.col("slot") + F.col(nth) - 1)
-        return x.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor((F.col("shard") + F.col(run) - F.col("size")) * float(n_shards) / float(total))).cast("int"))
+        return x.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor((F.col("shard") + F.col(run) - F.col("size") / 2) * float(n_shards) / float(total))).cast("int"))
 
     least = placed(narrow).groupBy("shard").agg(F.min("slot").alias("slot")).collect()
     zero = [0] * n_shards
