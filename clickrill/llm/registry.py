@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming, sharding
-from .common import read
+import uuid
+
+from . import hamming, sharding, warc
+from .common import read, shared_dir
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +16,12 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=10, dims=64)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(read(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP6_SQL = """
 WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings WHERE len(embedding) > 0),
 p AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id,
@@ -31,5 +39,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(narrow, 8).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op6_exact_topk": op6_exact_topk, "op10_sharding": op10_sharding}
+QUERIES = {"op3_warc": op3_warc, "op6_exact_topk": op6_exact_topk, "op10_sharding": op10_sharding}
 ORACLES = {"op6_exact_topk": OP6_SQL}
