@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from . import hamming, sharding, warc
+from . import hamming, licenses, sharding, warc
 from .common import read, shared_dir
 
 
@@ -22,6 +22,16 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, out).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("base", lambda x: x["start"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"), F.array_min(starts).cast("bigint").alias("first_word"), F.array_max(starts).cast("bigint").alias("last_word"),
+        joined(F.transform("base", lambda x: x["label"])).alias("base_labels"), joined(F.col("labels")).alias("labels"), "score",
+    )
+
+
 OP6_SQL = """
 WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings WHERE len(embedding) > 0),
 p AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id,
@@ -39,5 +49,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(narrow, 8).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op3_warc": op3_warc, "op6_exact_topk": op6_exact_topk, "op10_sharding": op10_sharding}
+QUERIES = {"op3_warc": op3_warc, "op5_licenses": op5_licenses, "op6_exact_topk": op6_exact_topk, "op10_sharding": op10_sharding}
 ORACLES = {"op6_exact_topk": OP6_SQL}
