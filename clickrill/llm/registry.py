@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from . import hamming, licenses, sharding, warc
+from . import hamming, licenses, neardup, sharding, warc
 from .common import read, shared_dir
 
 
@@ -32,6 +32,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(read(spark, sf_dir, "documents"), length=3, percent=85)
+
+
 OP6_SQL = """
 WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings WHERE len(embedding) > 0),
 p AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id,
@@ -49,5 +53,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(narrow, 8).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op3_warc": op3_warc, "op5_licenses": op5_licenses, "op6_exact_topk": op6_exact_topk, "op10_sharding": op10_sharding}
+QUERIES = {"op3_warc": op3_warc, "op5_licenses": op5_licenses, "op6_exact_topk": op6_exact_topk, "op9_near_duplicates": op9_near_duplicates, "op10_sharding": op10_sharding}
 ORACLES = {"op6_exact_topk": OP6_SQL}
