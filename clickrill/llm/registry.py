@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from . import hamming, licenses, neardup, sharding, warc
+from . import decontaminate, hamming, licenses, neardup, sharding, warc
 from .common import read, shared_dir
 
 
@@ -36,6 +36,15 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(read(spark, sf_dir, "documents"), length=3, percent=85)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    listed = F.concat_ws(",", F.array_sort(F.col("items").cast("array<string>")))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(listed.cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
 OP6_SQL = """
 WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings WHERE len(embedding) > 0),
 p AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id,
@@ -53,5 +62,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(narrow, 8).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op3_warc": op3_warc, "op5_licenses": op5_licenses, "op6_exact_topk": op6_exact_topk, "op9_near_duplicates": op9_near_duplicates, "op10_sharding": op10_sharding}
+QUERIES = {"op3_warc": op3_warc, "op5_licenses": op5_licenses, "op6_exact_topk": op6_exact_topk, "op7_decontaminate": op7_decontaminate, "op9_near_duplicates": op9_near_duplicates, "op10_sharding": op10_sharding}
 ORACLES = {"op6_exact_topk": OP6_SQL}
