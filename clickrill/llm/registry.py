@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from . import decontaminate, hamming, licenses, neardup, sharding, warc
+from . import decontaminate, hamming, licenses, neardup, sharding, substrings, warc
 from .common import read, shared_dir
 
 
@@ -16,6 +16,10 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=10, dims=64)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(read(spark, sf_dir, "pages"), out)
@@ -62,5 +66,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(narrow, 8).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op3_warc": op3_warc, "op5_licenses": op5_licenses, "op6_exact_topk": op6_exact_topk, "op7_decontaminate": op7_decontaminate, "op9_near_duplicates": op9_near_duplicates, "op10_sharding": op10_sharding}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_warc": op3_warc, "op5_licenses": op5_licenses, "op6_exact_topk": op6_exact_topk, "op7_decontaminate": op7_decontaminate, "op9_near_duplicates": op9_near_duplicates, "op10_sharding": op10_sharding}
 ORACLES = {"op6_exact_topk": OP6_SQL}
