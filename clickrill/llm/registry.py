@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from . import decontaminate, extract, hamming, licenses, neardup, sharding, substrings, warc
+from . import decontaminate, extract, hamming, licenses, neardup, quality, sharding, substrings, warc
 from .common import read, shared_dir
 
 
@@ -53,6 +53,14 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = quality.train(docs, read(spark, sf_dir, "labels").where(~held_out))
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 OP6_SQL = """
 WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings WHERE len(embedding) > 0),
 p AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id,
@@ -70,5 +78,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(narrow, 8).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_warc": op3_warc, "op5_licenses": op5_licenses, "op6_exact_topk": op6_exact_topk, "op7_decontaminate": op7_decontaminate, "op8_main_text": op8_main_text, "op9_near_duplicates": op9_near_duplicates, "op10_sharding": op10_sharding}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_licenses": op5_licenses, "op6_exact_topk": op6_exact_topk, "op7_decontaminate": op7_decontaminate, "op8_main_text": op8_main_text, "op9_near_duplicates": op9_near_duplicates, "op10_sharding": op10_sharding}
 ORACLES = {"op6_exact_topk": OP6_SQL}
