@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from . import decontaminate, extract, hamming, licenses, neardup, quality, sharding, substrings, warc
+from . import decontaminate, extract, hamming, licenses, mixing, neardup, quality, sharding, substrings, warc
 from .common import read, shared_dir
 
 
@@ -20,6 +20,21 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+#: Target shares of expected tokens by domain.
+WEIGHTS = {"clean": 0.9, "low": 0.06, "toxic": 0.04}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """The labelled table as doc_id, domain."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean").alias("domain"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.train(docs, domain_labels(read(spark, sf_dir, "labels")), sorted(WEIGHTS))
+    return mixing.mix(mixing.memberships(docs, model).drop("text"), WEIGHTS)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(read(spark, sf_dir, "pages"), out)
@@ -78,5 +93,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(narrow, 8).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_licenses": op5_licenses, "op6_exact_topk": op6_exact_topk, "op7_decontaminate": op7_decontaminate, "op8_main_text": op8_main_text, "op9_near_duplicates": op9_near_duplicates, "op10_sharding": op10_sharding}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_licenses": op5_licenses, "op6_exact_topk": op6_exact_topk, "op7_decontaminate": op7_decontaminate, "op8_main_text": op8_main_text, "op9_near_duplicates": op9_near_duplicates, "op10_sharding": op10_sharding}
 ORACLES = {"op6_exact_topk": OP6_SQL}
