@@ -3,9 +3,10 @@
 1. A softmax classifier over the labelled table: chosen terms (words and a few shape marks) present in a text give the
    posterior of each domain. Only the fit is bounded, to TRAIN_DOCS labelled documents drawn by a hash of the id.
 2. Projected-gradient least squares: rates r >= 0 of the documents, starting at 1, such that each domain's expected
-   tokens, sum of r * tokens * posterior, meet their targets. A step subtracts the posteriors' inner product with the
-   residuals, preconditioned by the domains' D x D moment matrix, and projects on r >= floor. A document's rate follows
-   from its posterior and the D residuals of each step, so a step is one distributed sum of D numbers.
+   tokens, sum of r * tokens * posterior, meet their targets. A gradient step takes the posteriors' inner product with the
+   residuals, preconditioned by the D x D moment matrix of the documents that aren't at the bound; the projection on
+   r >= floor is lazy: r = max(floor, 1 - p . (sum of all steps)). A rate so follows from a document's posterior and D
+   numbers, and a step is one distributed sum of D * (D + 3) / 2 numbers.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ STEPS = 60
 TOLERANCE = 1e-6
 
 
-def _terms(text: Column) -> Column:
-    """The distinct lower-case words of a text, and marks of its shape."""
+def _terms(text: Column, distinct: bool = True) -> Column:
+    """The lower-case words of a text, and marks of its shape."""
     n = F.greatest(F.length(text), F.lit(1))
     share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / n
     mark = lambda name, x, *cuts: [F.when(x >= c, F.lit(f"#{name}{i}")) for i, c in enumerate(cuts)]
     marks = [*mark("upper", share(r"[A-ZÀ-Þ]"), 0.1, 0.4), *mark("symbol", share(r"[#$%&*|!]"), 0.02, 0.1), *mark("digit", share(r"[0-9]"), 0.1, 0.3), *mark("short", -n, -40, -10)]
     words = F.split(F.lower(text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    return F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) > 1), F.filter(F.array(*marks), lambda w: w.isNotNull())))
+    all_ = F.concat(words, F.array_compact(F.array(*marks)))
+    return F.array_distinct(all_) if distinct else all_
 
 
 def tokens(text: Column) -> Column:
@@ -47,15 +49,17 @@ class Classifier:
     def __init__(self, domains: list[str], prior: list[float], terms: dict[str, list[float]]):
         self.domains, self.prior, self.terms = domains, prior, terms
 
-    def posterior(self, text: Column) -> Column:
-        """array<double>, a posterior for each domain."""
-        text = F.coalesce(text, F.lit(""))
-        found = F.array_intersect(_terms(text), F.array(*[F.lit(t) for t in sorted(self.terms)])) if self.terms else F.array().cast("array<string>")
-        table = F.create_map(*[x for t in sorted(self.terms) for x in (F.lit(t), F.array(*[F.lit(w) for w in self.terms[t]]))]) if self.terms else None
+    def present(self, text: Column) -> Column:
+        """The chosen terms in a text."""
+        return F.array_intersect(_terms(F.coalesce(text, F.lit("")), distinct=False), F.array(*[F.lit(t) for t in sorted(self.terms)])) if self.terms else F.array().cast("array<string>")
+
+    def scores(self, present: Column) -> Column:
+        """array<double>: the prior and the weights of the terms present."""
         start = F.array(*[F.lit(p) for p in self.prior])
-        logs = F.aggregate(found, start, lambda acc, t: F.zip_with(acc, F.element_at(table, t), lambda a, b: a + b)) if self.terms else start
-        top = F.array_max(logs)
-        return F.transform(logs, lambda x: F.exp(x - top))
+        if not self.terms:
+            return start
+        table = F.create_map(*[x for t in sorted(self.terms) for x in (F.lit(t), F.array(*[F.lit(w) for w in self.terms[t]]))])
+        return F.aggregate(present, start, lambda acc, t: F.zip_with(acc, F.element_at(table, t), lambda a, b: a + b))
 
 
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> Classifier:
@@ -101,43 +105,53 @@ def _softmax_fit(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0
 
 def memberships(df: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
     """df with n_tokens and p_<domain>: the posteriors, adding up to 1."""
-    raw = unused(df, "_raw")[0]
-    out = df.select("*", tokens(F.col(text_col)).alias("n_tokens"), model.posterior(F.col(text_col)).alias(raw))
-    whole = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-    return out.withColumn(raw, F.transform(raw, lambda x: x / whole)).select(*df.columns, "n_tokens", *[F.get(raw, F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)])
-
-
-def _rate(steps: list[list[float]], domains: list[str], floor: float) -> Column:
-    """The rate after the given steps, as a fold over them inside one expression."""
-    p = F.array(*[F.col(f"p_{d}") for d in domains])
-    if not steps:
-        return F.lit(1.0)
-    all_ = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    return F.aggregate(all_, F.lit(1.0), lambda r, s: F.greatest(F.lit(floor), r - F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)))
+    present, scores = unused(df, "_present", "_scores")
+    x = df.select("*", tokens(F.col(text_col)).alias("n_tokens"), model.present(F.col(text_col)).alias(present))
+    x = x.select(*df.columns, "n_tokens", model.scores(F.col(present)).alias(scores))
+    each = [F.exp(F.get(scores, F.lit(i)) - F.array_max(scores)) for i in range(len(model.domains))]
+    whole = sum(each[1:], each[0])
+    return x.select(*df.columns, "n_tokens", *[(e / whole).alias(f"p_{d}") for e, d in zip(each, model.domains, strict=True)])
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0, max_steps: int = STEPS) -> tuple[Column, dict]:
-    """The rate as an expression over n_tokens and p_<domain> of members, and a report of targets and what is reached.
+    """The rate as an expression over p_<domain> of members, and a report of targets and what is reached.
 
     targets: expected tokens wanted of each domain. Where no rates >= floor meet them (a domain without documents, say),
-    the steps settle at a least-squares answer in the preconditioned norm and the report shows the difference.
+    the answer is the nearest of the steps taken, and the report shows the difference.
     """
     domains = sorted(targets)
     want = np.array([float(targets[d]) for d in domains])
-    narrow = members.select("n_tokens", *[f"p_{d}" for d in domains])
-    moments = narrow.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{a}") * F.col(f"p_{b}")), F.lit(0.0)).alias(f"m{i}_{j}") for i, a in enumerate(domains) for j, b in enumerate(domains) if j <= i]).first()
-    m = np.array([[moments[f"m{max(i, j)}_{min(i, j)}"] for j in range(len(domains))] for i in range(len(domains))])
-    inverse = np.linalg.pinv(m, rcond=1e-9)
-    steps: list[list[float]] = []
-    reached = want * 0
-    for _ in range(max_steps + 1):
-        rate = _rate(steps, domains, floor)
-        got = narrow.agg(*[F.coalesce(F.sum(rate * F.col("n_tokens") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in domains]).first()
-        reached = np.array([float(got[d]) for d in domains])
-        if np.abs(reached - want).max(initial=0) <= TOLERANCE * max(1.0, want.sum()) or len(steps) == max_steps:
+    p, t, n = [F.col(f"p_{d}") for d in domains], F.col("n_tokens"), len(domains)
+
+    def rate(steps: np.ndarray) -> Column:
+        inner = sum((p[i] * float(steps[i]) for i in range(n)), F.lit(0.0))
+        return F.greatest(F.lit(float(floor)), 1.0 - inner)
+
+    def measure(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r = rate(steps)
+        free = F.when(r > floor, t).otherwise(0)
+        total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+        row = members.agg(*[total(r * t * p[i]).alias(f"g{i}") for i in range(n)], *[total(free * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(n) for j in range(i + 1)]).first()
+        return np.array([float(row[f"g{i}"]) for i in range(n)]), np.array([[row[f"m{max(i, j)}_{min(i, j)}"] for j in range(n)] for i in range(n)], float)
+
+    best = steps = np.zeros(n)
+    reached, moments = measure(steps)
+    best_reached, move = reached, None
+    for _ in range(max_steps):
+        if np.abs(best_reached - want).max(initial=0) <= TOLERANCE * max(1.0, want.sum()):
             break
-        steps.append((inverse @ (reached - want)).tolist())
-    return _rate(steps, domains, floor), {d: {"target": float(w), "reached": float(x)} for d, w, x in zip(domains, want, reached, strict=True)}
+        if np.abs(reached - want).sum() <= np.abs(best_reached - want).sum():
+            best, best_reached = steps, reached
+            move = np.linalg.pinv(moments, rcond=1e-9) @ (reached - want)
+        else:
+            move = move / 2
+            if np.abs(move).max(initial=0) < 1e-12:
+                break
+        steps = best + move
+        reached, moments = measure(steps)
+    if np.abs(reached - want).sum() < np.abs(best_reached - want).sum():
+        best, best_reached = steps, reached
+    return rate(best), {d: {"target": float(w), "reached": float(x)} for d, w, x in zip(domains, want, best_reached, strict=True)}
 
 
 def mix(members: DataFrame, weights: dict[str, float], floor: float = 0.0, total: float | None = None) -> DataFrame:
