@@ -152,7 +152,8 @@ def _agreeing(postings: DataFrame, found: DataFrame, slop: int) -> DataFrame:
         cell = F.floor(F.col("shift") / (slop + 1)).cast("int")
         hits = hits.select("id", "item", F.explode(F.array(cell, cell - 1)).alias("shift"), "at")
     lines = hits.groupBy("id", "item", "shift").agg(F.collect_set("at").alias("ats")).where(F.size("ats") >= 1)
-    return lines.join(found, "item").where(F.size(F.array_except("at", "ats")) == 0)
+    lines = lines.withColumnRenamed("item", "_item")
+    return lines.join(found, lines["_item"].eqNullSafe(found["item"])).where(F.size(F.array_except("at", "ats")) == 0)
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 5, window: int = WINDOW, picked: int = PICKED) -> DataFrame:
