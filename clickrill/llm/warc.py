@@ -37,9 +37,9 @@ def _gzip(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def _clean(value: str) -> str:
+def _clean(value: str | None) -> str:
     """A header value may hold no control characters."""
-    return "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in value)
+    return "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in value or "")
 
 
 def _record_id(key: int | None, digest: str) -> str:
