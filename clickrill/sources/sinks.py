@@ -54,7 +54,8 @@ def execute(spark: SparkSession, url: str, statement: str, values: list, propert
 
 
 def delete_task(spark: SparkSession, url: str, name: str, task_id: int, properties: dict[str, str]) -> int:
-    return execute(spark, url, f"DELETE FROM {name} WHERE task_id = ?", [task_id], properties)
+    column = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier("task_id")
+    return execute(spark, url, f"DELETE FROM {name} WHERE {column} = ?", [task_id], properties)
 
 
 class VersionedTable:
