@@ -3,8 +3,9 @@
 Rung 1 looks at windows of half the wanted length. Only sampled ones are needed: every wanted window contains the window
 that has the smallest hash of those inside it, its anchor, and equal windows have equal anchors, so a wanted window can
 repeat only if its anchor does. Rung 2 extends the repeated anchors to twice the length, all positions, and finds for
-each window whether it starts earlier. Each further rung doubles again, keeping the windows whose two halves both
-repeated, until no candidates survive or `longest` is reached; longer repeats cover no word that the wanted length doesn't.
+each window whether it starts earlier. That settles which words go: longer repeats cover no word that the wanted length
+doesn't, so dedup() stops there. ladder() climbs on for the lengths of repeats: windows whose two halves both repeated are
+named by their halves' names, those that repeat again are kept, and so on until no candidates survive.
 
 Occurrences inside one chunk of texts are aggregated before they are shuffled: a passage that a third of the documents
 share sends one row from each chunk. Documents are told apart by (id, hash of the text).
@@ -149,6 +150,26 @@ def _rung2(length: int):
     return run
 
 
+def _named(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, t, text, anchors) -> (id, t, pos, a, b): the candidate windows by place, with a 128-bit name."""
+        for b in batches:
+            ids, ts, sent = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(3)
+            for i, j, words in chunks(b.column(2), SPACED):
+                starts, anchor, _ = _anchors(words, length)
+                if not len(starts):
+                    continue
+                hot = np.zeros(len(words.hashes) + 1, bool)
+                for t in range(j - i):
+                    p = np.asarray(sent[i + t].values)
+                    hot[words.first[t] + p[p < words.first[t + 1] - words.first[t]]] = True
+                starts = starts[hot[anchor]]
+                doc = np.searchsorted(words.first, starts, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc]), pa.array(ts[i + doc]), pa.array((starts - words.first[doc]).astype(np.int32)), pa.array(words.windows(length, 1)[starts].view(np.int64)), pa.array(words.windows(length, 2)[starts].view(np.int64))], names=["id", "t", "pos", "a", "b"])
+
+    return run
+
+
 def _same_place(later: np.ndarray, order: np.ndarray, ids: np.ndarray, ts: np.ndarray, pos: np.ndarray, name: np.ndarray) -> None:
     """Rows that repeat a document whole are no earlier occurrences of each other."""
     a, b = order[:-1], order[1:]
@@ -233,6 +254,43 @@ def _apply(length: int):
     return run
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """k (the id, null last) and t (a hash of the text) tell documents apart."""
+    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return docs.select(F.coalesce("id", F.lit(2**63 - 1)).alias("k"), F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int").alias("t"), "id", "text")
+
+
+def _sent(docs: DataFrame, length: int) -> DataFrame:
+    """The places of each document's repeated anchors."""
+    places = docs.select(F.col("k").alias("id"), "t", "text").mapInArrow(_rung1(length), "h bigint, id bigint, t int, pos int, more binary")
+    again = places.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "id bigint, t int, pos int")
+    return stored(again.groupBy(F.col("id").alias("k"), "t").agg(F.sort_array(F.collect_set("pos")).alias("anchors")), "anchors")
+
+
+def ladder(df: DataFrame, length: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, start, length: the windows that occur more than once, at each of the lengths length, 2 * length, 4 * length ...
+    up to the last that has any. Nulls and repeated rows as in dedup(), but rows that repeat a document count as one."""
+    docs = _keyed(df, id_col, text_col).dropDuplicates(["k", "t"])
+    candidates = docs.select("k", "t", "text").join(_sent(docs, length), ["k", "t"])
+    names = stored(candidates.select("k", "t", "text", "anchors").mapInArrow(_named(length), "id bigint, t int, pos int, a bigint, b bigint"), "rung")
+    rungs = []
+    while True:
+        often = names.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+        kept = stored(names.join(often, ["a", "b"]), "rung")
+        if kept.isEmpty() and rungs:
+            break
+        rungs.append(kept.select("id", F.col("pos").alias("start"), F.lit(length).alias("length")))
+        if kept.isEmpty():
+            break
+        second = kept.select("id", "t", (F.col("pos") - length).alias("pos"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        names = kept.join(second, ["id", "t", "pos"]).select("id", "t", "pos", F.xxhash64("a", "a2").alias("a"), F.xxhash64("b2", "b", F.lit(1)).alias("b"))
+        length *= 2
+    out = rungs[0]
+    for x in rungs[1:]:
+        out = out.unionByName(x)
+    return out.select(F.when(F.col("id") != 2**63 - 1, F.col("id")).alias("id"), "start", "length")
+
+
 def dedup(df: DataFrame, length: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept_text, kept_sha256 (of its UTF-8), removed (array of word spans start, stop).
 
@@ -242,11 +300,7 @@ def dedup(df: DataFrame, length: int = WORDS, id_col: str = "doc_id", text_col:
     documents, ordered by a hash of their texts; rows that repeat id and text get equal results and aren't each other's
     earlier occurrence. Empty table: no rows. Other columns are left out.
     """
-    last = 2**63 - 1
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).select(F.coalesce("id", F.lit(last)).alias("k"), F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int").alias("t"), "id", "text")
-    places = docs.select(F.col("k").alias("id"), "t", "text").mapInArrow(_rung1(length), "h bigint, id bigint, t int, pos int, more binary")
-    again = places.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "id bigint, t int, pos int")
-    sent = stored(again.groupBy(F.col("id").alias("k"), "t").agg(F.sort_array(F.collect_set("pos")).alias("anchors")), "anchors")
+    docs, sent = _keyed(df, id_col, text_col), _sent(_keyed(df, id_col, text_col), length)
     candidates = docs.select("k", "t", "text").join(sent, ["k", "t"]).select("k", "t", "text", "anchors")
     windows = candidates.mapInArrow(_rung2(length), "key bigint, id bigint, t int, start int, mask bigint, windows binary")
     found = windows.repartition("key").sortWithinPartitions("key", "id", "t", "start").mapInArrow(_decide, "id bigint, t int, start int, mask bigint")

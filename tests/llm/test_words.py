@@ -60,6 +60,26 @@ def test_substrings_of_other_lengths(spark, length):
     assert {r["id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute.substring(docs, length)
 
 
+def test_ladder(documents, no_documents):
+    """Every rung against counts of all windows, up to the longest that repeats."""
+    docs = [(i, brute.SPACED.findall(t or "")) for i, t in pairs(documents)]
+    want, length = set(), 20
+    while True:
+        places = {}
+        for i, w in docs:
+            for s in range(len(w) - length + 1):
+                places.setdefault(hash(tuple(w[s : s + length])), []).append((i, s, length))
+        rung = {x for v in places.values() if len(v) > 1 for x in v}
+        if not rung:
+            break
+        want |= rung
+        length *= 2
+    assert length > 5000
+    got = [tuple(r) for r in substrings.ladder(documents).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert substrings.ladder(no_documents).collect() == []
+
+
 def test_substrings_odd(odd_documents, no_documents):
     got = substrings.dedup(odd_documents).collect()
     assert len(got) == odd_documents.count()
