@@ -25,22 +25,22 @@ STEPS = 60
 TOLERANCE = 1e-6
 
 
-def _terms(text: Column, distinct: bool = True) -> Column:
-    """The lower-case words of a text, and marks of its shape."""
+def _words(text: Column) -> Column:
+    """The lower-case words (0-9, a-z and characters beyond ASCII) of a text; its ends may give empty ones. Null: none."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def _marks(text: Column) -> Column:
+    """Marks of a text's shape: shares of capitals and of symbols, shortness."""
+    text = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(text), F.lit(1))
     share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / n
-    mark = lambda name, x, *cuts: [F.when(x >= c, F.lit(f"#{name}{i}")) for i, c in enumerate(cuts)]
-    marks = [*mark("upper", share(r"[A-ZÀ-Þ]"), 0.1, 0.4), *mark("symbol", share(r"[#$%&*|!]"), 0.02, 0.1), *mark("digit", share(r"[0-9]"), 0.1, 0.3), *mark("short", -n, -40, -10)]
-    words = F.split(F.lower(text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    all_ = F.concat(words, F.array_compact(F.array(*marks)))
-    return F.array_distinct(all_) if distinct else all_
+    mark = lambda name, x, low, high: F.when(x >= high, f"#{name}1").when(x >= low, f"#{name}0").otherwise(f"#{name}")
+    return F.array(mark("upper", share(r"[A-ZÀ-Þ]"), 0.1, 0.4), mark("symbol", share(r"[#$%&*|!]"), 0.02, 0.1), mark("short", -n, -40, -10))
 
 
-def tokens(text: Column) -> Column:
-    """White-space separated words of a text; null: none."""
-    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    bare = F.trim(flat)
-    return F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1).cast("bigint")
+def n_words(words: Column) -> Column:
+    return (F.size(words) - (F.get(words, F.lit(0)) == "").cast("int") - F.when(F.size(words) > 1, (F.element_at(words, -1) == "").cast("int")).otherwise(0)).cast("bigint")
 
 
 class Classifier:
@@ -49,9 +49,9 @@ class Classifier:
     def __init__(self, domains: list[str], prior: list[float], terms: dict[str, list[float]]):
         self.domains, self.prior, self.terms = domains, prior, terms
 
-    def present(self, text: Column) -> Column:
-        """The chosen terms in a text."""
-        return F.array_intersect(_terms(F.coalesce(text, F.lit("")), distinct=False), F.array(*[F.lit(t) for t in sorted(self.terms)])) if self.terms else F.array().cast("array<string>")
+    def present(self, words: Column, marks: Column) -> Column:
+        """The chosen terms among a text's words and marks."""
+        return F.array_intersect(F.concat(words, marks), F.array(*[F.lit(t) for t in sorted(self.terms)])) if self.terms else F.array().cast("array<string>")
 
     def scores(self, present: Column) -> Column:
         """array<double>: the prior and the weights of the terms present."""
@@ -67,7 +67,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
     usable row every posterior is the uniform one."""
     usable = labelled.where(F.col("domain").isin(domains)).select(F.col(id_col).alias("_id"), "domain").dropDuplicates(["_id"])
     chosen = usable.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id").orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
-    rows = stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("domain", _terms(F.coalesce("text", F.lit(""))).alias("terms")), "labelled")
+    rows = stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("domain", F.array_distinct(F.concat(_words(F.col("text")), _marks(F.col("text")))).alias("terms")), "labelled")
     sizes = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
     n = [sizes.get(d, 0) for d in domains]
     total = sum(n)
@@ -77,7 +77,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
     all_ = sum((F.col(f"c{i}") for i in range(len(domains))), F.lit(0))
     # a term speaks for or against a domain by its documents times the log ratio of its shares there and elsewhere
     gain = [all_ * F.abs(F.log((F.col(f"c{i}") + 0.5) / F.lit(x + 1.0)) - F.log((all_ - F.col(f"c{i}") + 0.5) / F.lit(total - x + 1.0))) for i, x in enumerate(n)]
-    scored = stored(counts.where(all_ >= LEAST).select("term", *[g.alias(f"g{i}") for i, g in enumerate(gain)]), "terms")
+    scored = stored(counts.where((all_ >= LEAST) & (F.col("term") != "")).select("term", *[g.alias(f"g{i}") for i, g in enumerate(gain)]), "terms")
     terms = sorted({r["term"] for i in range(len(domains)) for r in scored.orderBy(F.desc(f"g{i}"), "term").limit(TERMS).collect()} | {r["term"] for r in scored.where("term LIKE '#%'").collect()})
     wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     sample = sorted((r["domain"], sorted(r["t"])) for r in rows.select("domain", F.array_intersect("terms", wanted).alias("t")).collect())  # max_docs rows of up to len(domains) * TERMS terms
@@ -105,8 +105,9 @@ def _softmax_fit(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0
 
 def memberships(df: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
     """df with n_tokens and p_<domain>: the posteriors, adding up to 1."""
-    present, scores = unused(df, "_present", "_scores")
-    x = df.select("*", tokens(F.col(text_col)).alias("n_tokens"), model.present(F.col(text_col)).alias(present))
+    words, present, scores = unused(df, "_words", "_present", "_scores")
+    x = df.select("*", _words(F.col(text_col)).alias(words))
+    x = x.select(*df.columns, n_words(F.col(words)).alias("n_tokens"), model.present(F.col(words), _marks(F.col(text_col))).alias(present))
     x = x.select(*df.columns, "n_tokens", model.scores(F.col(present)).alias(scores))
     each = [F.exp(F.get(scores, F.lit(i)) - F.array_max(scores)) for i in range(len(model.domains))]
     whole = sum(each[1:], each[0])
