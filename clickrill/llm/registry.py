@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import uuid
-
 from . import decontaminate, extract, hamming, licenses, mixing, neardup, quality, sharding, substrings, warc
 from .common import read, shared_dir
-
-
-def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read(spark, sf_dir, "embeddings")
-    return hamming.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=10, dims=64)
+from .oracle import ORACLES
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +51,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(read(spark, sf_dir, "documents"), length=3, percent=85)
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return hamming.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=10, dims=64)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     listed = F.concat_ws(",", F.array_sort(F.col("items").cast("array<string>")))
@@ -76,14 +77,6 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-OP6_SQL = """
-WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings WHERE len(embedding) > 0),
-p AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id,
-        CAST(list_sum(list_transform(range(1, 65), lambda i: abs(q.code[i] - n.code[i]))) AS INTEGER) AS distance
-      FROM c q JOIN c n ON q.vec_id <> n.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM p)
-SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
-"""
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,5 +86,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(narrow, 8).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_licenses": op5_licenses, "op6_exact_topk": op6_exact_topk, "op7_decontaminate": op7_decontaminate, "op8_main_text": op8_main_text, "op9_near_duplicates": op9_near_duplicates, "op10_sharding": op10_sharding}
-ORACLES = {"op6_exact_topk": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_warc, op4_quality, op5_licenses, op6_exact_topk, op7_decontaminate, op8_main_text, op9_near_duplicates, op10_sharding)}
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -60,6 +60,16 @@ def test_substrings_of_other_lengths(spark, length):
     assert {r["id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute.substring(docs, length)
 
 
+def test_substrings_in_small_batches(spark, documents):
+    """Groups that go on from batch to batch, and chunks of a few texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = substrings.dedup(documents.coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute.substring(pairs(documents))
+
+
 def test_ladder(documents, no_documents):
     """Every rung against counts of all windows, up to the longest that repeats."""
     docs = [(i, brute.SPACED.findall(t or "")) for i, t in pairs(documents)]
@@ -192,6 +202,32 @@ def test_licenses(spark, documents):
     assert by[4]["labels"] == ["mit"] and by[5]["labels"] == ["apache-2.0"]
 
 
+def plain_detections(text):
+    """Every rule by Python's re, each place against all others."""
+    import re
+
+    joined = " " + " ".join(brute.ALNUM.findall((text or "").translate(brute.LOWER))) + " "
+    found = []
+    for i, (label, priority, keyword, rx) in enumerate(licenses.RULES):
+        if keyword in joined:
+            for m in re.finditer(f"(?<= )(?:{rx})(?= )", joined):
+                start = joined[: m.start()].count(" ") - 1
+                found.append((start, start + m.group().count(" ") + 1, priority, i, label))
+    inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and b[2] >= a[2] and (b[:3] != a[:3] or b[3] < a[3])
+    return sorted((a[0], a[1], a[2], a[4]) for a in found if not any(inside(a, b) for b in found if b is not a))
+
+
+def test_license_detections(spark):
+    r = __import__("random").Random(2)
+    samples = [x for _, _, _, x in licenses.RULES if "(" not in x and "[" not in x and "?" not in x]
+    docs = [(i, "Some words. " + " and ".join(r.choice(samples) for _ in range(r.randrange(1, 6))) + " " + r.choice([n for n in NOTICES if n])) for i in range(150)]
+    docs += [(1000 + i, f"Text {label} under Creative Commons Attribution-NonCommercial 4.0 International, GPL-3.0 or later, GNU Lesser General Public License v2.1") for i, label in enumerate("ab")]
+    got = {x["doc_id"]: sorted((d["start"], d["stop"], d["priority"], d["label"]) for d in x["detections"]) for x in licenses.scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    for i, text in docs:
+        assert got[i] == plain_detections(text), text
+    assert {x[3] for x in got[1000]} >= {"cc-by-nc-4.0", "gpl-3", "lgpl-2.1"}
+
+
 def test_license_suppression(spark):
     """No detection that is left lies inside another of the same or a higher priority."""
     docs = spark.createDataFrame([(i, x) for i, x in enumerate([n for n in NOTICES if n] + [" ".join(n for n in NOTICES if n) * 5])], "doc_id bigint, text string")
