@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ from .common import stored
 from .tokens import SPACED, Words, chunks
 
 WORDS = 20
-_PLACE = np.dtype([("id", "<i8"), ("t", "<i4"), ("pos", "<i4")])
+_RUNG1 = ["h", "id", "t", "pos", "more"]
+_NAME = np.dtype([("o", "u1"), ("h", "<u8")])
 
 
 def _valid(words: Words, length: int) -> np.ndarray:
@@ -48,7 +50,9 @@ def _anchors(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _rung1(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, t, text) -> (h, id, t, pos, more): a row for each anchor hash of a chunk; more: its further places there."""
+        """(id, t, text) -> (h, id, t, pos, more): a row for each anchor hash of a chunk, at its first place there, with pos
+        as -1 - pos if the chunk has it again. The further places, which are known to repeat, need no meeting: they come
+        packed by document (more: int32 positions) under a key of the document's own."""
         for b in batches:
             ids, ts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             for i, j, words in chunks(b.column(2), SPACED):
@@ -56,50 +60,60 @@ def _rung1(length: int):
                 if not len(anchor):
                     continue
                 at = anchor[np.r_[True, anchor[1:] != anchor[:-1]]]
-                doc = np.searchsorted(words.first, at, "right") - 1
                 order = np.argsort(h[at], kind="stable")
-                at, doc = at[order], doc[order]
+                at = at[order]
                 key = h[at]
-                place = np.empty(len(at), _PLACE)
-                place["id"], place["t"], place["pos"] = ids[i + doc], ts[i + doc], at - words.first[doc]
-                new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                size = np.diff(np.r_[new, len(at)])
-                more = np.full(len(new), None, object)
-                for k in np.flatnonzero(size > 1):
-                    more[k] = place[new[k] + 1 : new[k] + size[k]].tobytes()
-                one = place[new]
-                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(one["id"]), pa.array(one["t"]), pa.array(one["pos"]), pa.array(more, pa.binary())], names=["h", "id", "t", "pos", "more"])
+                new = np.r_[True, key[1:] != key[:-1]]
+                twice = np.zeros(len(at), bool)
+                twice[:-1] = new[:-1] & ~new[1:]
+                doc = np.searchsorted(words.first, at, "right") - 1
+                pos = (at - words.first[doc]).astype(np.int32)
+                first = np.flatnonzero(new)
+                d = i + doc[first]
+                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(ids[d]), pa.array(ts[d]), pa.array(np.where(twice[first], -1 - pos[first], pos[first])), pa.nulls(len(first), pa.binary())], names=_RUNG1)
+                rest = np.flatnonzero(~new)
+                if len(rest):
+                    rest = rest[np.argsort(doc[rest], kind="stable")]
+                    d, p = doc[rest], pos[rest]
+                    cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+                    more = [x.tobytes() for x in np.split(p, cut[1:])]
+                    d = i + d[cut]
+                    with np.errstate(over="ignore"):
+                        own = ids[d] * np.int64(0x5851F42D4C957F2D) + ts[d]
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids[d]), pa.array(ts[d]), pa.array(p[cut]), pa.array(more, pa.binary())], names=_RUNG1)
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _rung1 sorted by h -> the places (id, t, pos) of the hashes that have more than one."""
-    last, waiting = None, None  # the hash of the row before, and its row if it stands alone so far
+    last, waiting = None, None  # the hash of the row before, and its place if it stands alone so far
 
-    def rows(place: np.ndarray, more: list[bytes]) -> pa.RecordBatch:
-        out = np.concatenate([place, *(np.frombuffer(m, _PLACE) for m in more)])
-        return pa.RecordBatch.from_arrays([pa.array(out[f]) for f in ("id", "t", "pos")], names=["id", "t", "pos"])
+    def places(ids, ts, pos) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ts), pa.array(pos.astype(np.int32))], names=["id", "t", "pos"])
 
     for b in batches:
+        packed = b.column("more").is_valid()
+        known = b.filter(packed)
+        if known.num_rows:
+            more = [np.frombuffer(x.as_py(), np.int32) for x in known.column("more")]
+            n = [len(x) for x in more]
+            yield places(np.repeat(known.column("id").to_numpy(), n), np.repeat(known.column("t").to_numpy(), n), np.concatenate(more))
+        b = b.filter(pc.invert(packed))
         if not b.num_rows:
             continue
-        h = b.column("h").to_numpy()
-        place = np.empty(len(h), _PLACE)
-        for f in _PLACE.names:
-            place[f] = b.column(f).to_numpy()
-        more = b.column("more")
-        full = more.is_valid().to_numpy(zero_copy_only=False)
+        h, ids, ts, pos = (b.column(f).to_numpy() for f in _RUNG1[:4])
         same = np.zeros(len(h), bool)
         same[1:] = h[1:] == h[:-1]
-        on = full | same
+        on = (pos < 0) | same
         on[:-1] |= same[1:]
+        pos = np.where(pos < 0, -1 - pos, pos)
         if h[0] == last:
             on[0] = True
             if waiting is not None:
-                yield rows(waiting, [])
-        yield rows(place[on], [x.as_py() for x in more.filter(pa.array(full))])
-        last, waiting = h[-1], None if on[-1] else place[-1:].copy()
+                yield places(*waiting)
+        yield places(ids[on], ts[on], pos[on])
+        last, waiting = h[-1], None if on[-1] else (ids[-1:].copy(), ts[-1:].copy(), pos[-1:].copy())
 
 
 def _rung2(length: int):
@@ -137,13 +151,14 @@ def _rung2(length: int):
                 mask = np.bitwise_or.reduceat(np.where(later, np.int64(1) << offset, 0), new)
                 open_ = ~later
                 count = np.add.reduceat(open_.astype(np.int64), new)
-                packed = np.empty(int(open_.sum()), np.dtype([("o", "u1"), ("h", "<u8")]))
+                packed = np.empty(int(open_.sum()), _NAME)
                 packed["o"], packed["h"] = offset[open_], name[open_]
                 ends = np.cumsum(count) * packed.dtype.itemsize
                 windows = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
                 d, s = doc[new], starts[new]
                 # rows without open windows only pass through: any task will do
-                key = np.where(count > 0, h[anchor[new]].view(np.int64), ids[i + d] * np.int64(31) + s)
+                with np.errstate(over="ignore"):
+                    key = np.where(count > 0, h[anchor[new]].view(np.int64), ids[i + d] * np.int64(0x5851F42D4C957F2D) + s)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[i + d]), pa.array(ts[i + d]), pa.array((s - words.first[d]).astype(np.int32)), pa.array(mask), windows], names=["key", "id", "t", "start", "mask", "windows"])
 
     assert length - half < 63, "a mask has 63 bits"
@@ -179,41 +194,37 @@ def _same_place(later: np.ndarray, order: np.ndarray, ids: np.ndarray, ts: np.nd
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _rung2 sorted by (key, id, t, start) -> (id, t, start, mask): mask now has every window that starts earlier too."""
-    held: pa.Table | None = None
-
-    def settle(x: pa.Table) -> pa.RecordBatch:
-        cols = {f: x.column(f).to_numpy() for f in ("id", "t", "start", "mask")}
-        w = x.column("windows").combine_chunks()
-        w = w.chunk(0) if isinstance(w, pa.ChunkedArray) else w
-        at = np.frombuffer(w.buffers()[1], np.int32)[w.offset : w.offset + len(w) + 1]
-        raw = np.frombuffer(w.buffers()[2], np.dtype([("o", "u1"), ("h", "<u8")]), count=at[-1] // 9) if at[-1] else np.zeros(0, np.dtype([("o", "u1"), ("h", "<u8")]))
-        raw, at = raw[at[0] // 9 :], (at - at[0]) // 9
-        row = np.repeat(np.arange(len(w)), np.diff(at))
-        order = np.argsort(raw["h"], kind="stable")
-        r, h, o = row[order], raw["h"][order], raw["o"][order].astype(np.int64)
-        # stable: within one hash the places keep their order, so all but those at the first place are later
-        first = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-        f = r[first]
-        later = (cols["id"][r] != cols["id"][f]) | (cols["t"][r] != cols["t"][f]) | (cols["start"][r] + o != cols["start"][f] + o[first])
-        mask = cols["mask"].copy()
-        np.bitwise_or.at(mask, r[later], np.int64(1) << o[later])
-        keep = mask != 0
-        return pa.RecordBatch.from_arrays([pa.array(cols["id"][keep]), pa.array(cols["t"][keep]), pa.array(cols["start"][keep]), pa.array(mask[keep])], names=["id", "t", "start", "mask"])
+    """Rows of _rung2 sorted by (key, id, t, start) -> (id, t, start, mask): mask now has every window that starts earlier too.
 
+    A key's rows may fill many batches: what goes from one to the next is the first place of each name under the last key.
+    """
+    last, carry = None, None
     for b in batches:
         if not b.num_rows:
             continue
-        x = pa.Table.from_batches([b])
-        if held is not None:
-            x = pa.concat_tables([held, x])
-        key = x.column("key").to_numpy()
-        cut = int(np.searchsorted(key, key[-1], "left"))  # sorted: the last key may go on in the next batch
-        if cut:
-            yield settle(x.slice(0, cut))
-        held = x.slice(cut)
-    if held is not None:
-        yield settle(held)
+        key, ids, ts, start = (b.column(f).to_numpy() for f in ("key", "id", "t", "start"))
+        w = b.column("windows")
+        at = np.frombuffer(w.buffers()[1], np.int32)[w.offset : w.offset + len(w) + 1] // _NAME.itemsize
+        raw = np.frombuffer(w.buffers()[2], _NAME, count=at[-1])[at[0] :] if at[-1] else np.zeros(0, _NAME)
+        row = np.repeat(np.arange(len(w)), np.diff(at))
+        offset = raw["o"].astype(np.int64)
+        names = np.empty(len(raw), [("key", "<i8"), ("h", "<u8"), ("id", "<i8"), ("t", "<i4"), ("pos", "<i8")])
+        names["key"], names["h"], names["id"], names["t"], names["pos"] = key[row], raw["h"], ids[row], ts[row], start[row] + offset
+        old = carry if carry is not None and last == key[0] else names[:0]
+        both = np.concatenate([old, names])
+        order = np.argsort(both["h"], kind="stable")  # stable: places of one name keep their order
+        x = both[order]
+        new = np.r_[True, x["h"][1:] != x["h"][:-1]] if len(x) else np.zeros(0, bool)
+        f = x[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))] if len(x) else x
+        later = np.zeros(len(both), bool)
+        later[order] = (x["id"] != f["id"]) | (x["t"] != f["t"]) | (x["pos"] != f["pos"])
+        later = later[len(old) :]
+        last = key[-1]
+        carry = x[new & (x["key"] == last)]
+        mask = b.column("mask").to_numpy().copy()
+        np.bitwise_or.at(mask, row[later], np.int64(1) << offset[later])
+        keep = mask != 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ts[keep]), pa.array(start[keep]), pa.array(mask[keep])], names=["id", "t", "start", "mask"])
 
 
 def _apply(length: int):
