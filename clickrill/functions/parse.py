@@ -17,13 +17,22 @@ def server_time(x: Column) -> Column:
     return (x.try_cast("double") * 1000).try_cast("bigint")
 
 
-def url_params(request: Column) -> Column:
-    """map<string,string> of `path?k=v&k=v`: decoded values, blank keys and values left out, the last of a key wins."""
+def url_entries(request: Column) -> Column:
+    """array of (key, value) of `path?k=v&k=v` in order: decoded values; blank keys and values left out."""
     body = F.when(F.instr(request, "?") > 0, F.substring(request, F.instr(request, "?") + 1, F.length(request))).otherwise(request)
-    pair = lambda p: F.split(F.trim(p), "=")
-    pairs = F.transform(F.split(body, "&"), lambda p: F.struct(F.get(pair(p), F.lit(0)).alias("key"), F.try_url_decode(F.get(pair(p), F.lit(1))).alias("value")))
-    whole = F.filter(pairs, lambda p: ~is_blank(p["key"]) & ~is_blank(p["value"]))
-    return F.aggregate(whole, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"])))
+    pairs = F.transform(F.transform(F.split(body, "&"), lambda p: F.split(F.trim(p), "=")), lambda p: F.struct(F.get(p, F.lit(0)).alias("key"), F.try_url_decode(F.get(p, F.lit(1))).alias("value")))
+    return F.filter(pairs, lambda p: ~is_blank(p["key"]) & ~is_blank(p["value"]))
+
+
+def entry(entries: Column, key: str) -> Column:
+    """The last value of a key, or null."""
+    return F.try_element_at(F.filter(entries, lambda p: p["key"] == key), F.lit(-1))["value"]
+
+
+def url_params(request: Column) -> Column:
+    """map<string,string> of url_entries; the last of a key wins."""
+    put = lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"]))
+    return F.aggregate(url_entries(request), F.create_map().cast("map<string,string>"), put)
 
 
 def page_id(url: Column, flag: str) -> Column:
@@ -74,12 +83,14 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     fields = F.split(F.trim(F.col(value)), " ")
     x = lines.select(F.col(value).alias("line"), F.when(F.size(fields) == 4, fields).alias("f"))
-    x = x.select("line", F.get("f", F.lit(0)).alias("ip"), server_time(F.get("f", F.lit(1))).alias("s_time"), F.when(F.col("f").isNotNull(), url_params(F.get("f", F.lit(3)))).alias("p"), F.col("f").isNull().alias("broken"))
-    p = lambda k: F.try_element_at("p", F.lit(k))
-    agent = {k: v for k, v in user_agent(p("b_usa")).items()}
+    x = x.select("line", F.get("f", F.lit(0)).alias("ip"), server_time(F.get("f", F.lit(1))).alias("s_time"), F.when(F.col("f").isNotNull(), url_entries(F.get("f", F.lit(3)))).alias("p"), F.col("f").isNull().alias("broken"))
+    keys = ["en", "uid", "sid", "mid", "pl", "ver", "b_usa", "url", "tt", "gid"]
+    x = x.select("line", "ip", "s_time", "broken", *[entry(F.col("p"), k).alias(k) for k in keys])
+    # through a generator, so that filters on what follows aren't pushed below it and each key is looked up once
+    x = x.select(F.inline(F.array(F.struct(*x.columns))))
     out = x.select(
-        "line", p("en").alias("en"), p("uid").alias("uid"), p("sid").alias("sid"), p("mid").alias("mid"), p("pl").alias("pl"), p("ver").alias("ver"), "ip", "s_time", p("url").alias("url"), p("tt").alias("tt"),
-        keyword(p("url"), p("tt")).alias("kw"), *[c.alias(k) for k, c in agent.items()], F.coalesce(page_id(p("url"), GOODS_FLAG), as_int32(p("gid")).cast("bigint")).alias("gid"), page_id(p("url"), CATEGORY_FLAG).alias("c_id"), "broken",
+        "line", "en", "uid", "sid", "mid", "pl", "ver", "ip", "s_time", "url", "tt", keyword(F.col("url"), F.col("tt")).alias("kw"), *[c.alias(k) for k, c in user_agent(F.col("b_usa")).items()],
+        F.coalesce(page_id(F.col("url"), GOODS_FLAG), as_int32(F.col("gid")).cast("bigint")).alias("gid"), page_id(F.col("url"), CATEGORY_FLAG).alias("c_id"), "broken",
     )
     reason = F.when(is_blank(F.col("line")), "blank").when(F.col("broken"), "fields").when(F.col("s_time").isNull(), "time").when(~F.coalesce(F.col("en").isin(*EVENTS.values()), F.lit(False)), "event")
     return out.select("*", reason.alias("reject"), row_key(F.col("s_time"), F.col("uid"), F.col("mid"), F.col("en")).alias("row_key")).drop("broken")
