@@ -22,27 +22,35 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 DROP = frozenset("script style noscript template nav footer aside form button select textarea iframe object svg canvas head title menu dialog audio video map option datalist".split())
 #: Words of a class, id or role that mark an element as no part of the article.
-BOILERPLATE = frozenset("ad ads adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert newsletter subscribe subscription sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead respond reply replies disqus share sharing social related recommended popup modal overlay toolbar pagination pager login signup search skip complementary contentinfo toc".split())
-_STARTS = ("advert", "comment", "sidebar", "navigation", "cookie", "newsletter")
+BOILERPLATE = frozenset("ad ads adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert newsletter subscribe subscription sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead respond reply replies disqus share sharing social related recommended popup modal overlay toolbar pagination pager login signup search skip complementary contentinfo toc disclaimer outbrain taboola".split())
+_STARTS = ("advert", "comment", "adsby", "sidebar", "navigation", "cookie", "newsletter")
+#: Never part of a wrapper's name.
+_TOP = frozenset("footer masthead respond disqus contentinfo".split())
 #: A header of one of these is the article's own.
 OWN = frozenset("article entry post story content main".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "body": ({"head"}, set())}
 _TOKEN = re.compile(r"[a-z]+")
 
 
-def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+#: How sure a node's own mark is: no boilerplate; by words of its class, beside words for articles; by such words alone; surely.
+FREE, PERHAPS, LIKELY, SURE = 0, 1, 2, 3
+
+
+def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
     if tag in DROP or (tag == "header" and not inside):
-        return True
+        return SURE
+    mark = FREE
     for name, value in attrs:
         value = (value or "").lower()
         if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")) or (name == "aria-hidden" and value == "true"):
-            return True
+            return SURE
         if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
             tokens = set(_TOKEN.findall(value))
             found = {t for t in tokens if t in BOILERPLATE or t.startswith(_STARTS)}
-            if found - {"header"} or (found and not inside and not tokens & OWN):
-                return True
-    return False
+            if any(t.startswith(_STARTS[:3]) or t in _TOP for t in found - {"header"}) or ("header" in found and not inside and not tokens & OWN):
+                return SURE
+            mark = max(mark, (PERHAPS if tokens & OWN else LIKELY) if found - {"header"} else FREE)
+    return mark
 
 
 class _Page(HTMLParser):
@@ -50,7 +58,7 @@ class _Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.dropped, self.inside = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.mark, self.inside = ["#root"], [-1], [FREE], [False]
         self.open, self.events, self.count = [0], [], {}
         self.feed(html)
         self.close()
@@ -73,7 +81,7 @@ class _Page(HTMLParser):
         self.tag.append(tag)
         self.parent.append(up)
         self.inside.append(self.inside[up] or tag in ("article", "main"))
-        self.dropped.append(self.dropped[up] or _boilerplate(tag, attrs, self.inside[up]))
+        self.mark.append(_boilerplate(tag, attrs, self.inside[up]))
         self.events.append((node, True))
         if tag in VOID:
             self.events.append((node, False))
@@ -110,12 +118,33 @@ class _Page(HTMLParser):
         self.events.append((self.open[-1], data))
 
 
+def _dropped(page: _Page) -> list[bool]:
+    """Which nodes are boilerplate or lie in some. A wrapper of most of the page may have a class like `with-sidebar`: one
+    that holds the main element or a first heading isn't dropped for its class, nor is one that is named as an article too and
+    holds more than half of the words."""
+    n, parent, sure = len(page.tag), page.parent, [m == SURE for m in page.mark]
+    for i in range(1, n):
+        sure[i] = sure[i] or sure[parent[i]]
+    words, holds = [0] * n, [page.tag[i] in ("main", "h1") and not sure[i] for i in range(n)]
+    for node, what in page.events:
+        if isinstance(what, str) and not sure[node]:
+            words[node] += len(what.split())
+    for i in range(n - 1, 0, -1):
+        words[parent[i]] += words[i]
+        holds[parent[i]] = holds[parent[i]] or holds[i]
+    out = sure
+    for i in range(1, n):
+        out[i] = sure[i] or out[parent[i]] or (page.mark[i] in (PERHAPS, LIKELY) and not holds[i] and (page.mark[i] == LIKELY or 2 * words[i] <= words[0]))
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by an empty line."""
     if not html:
         return ""
     page = _Page(html)
-    n, tag, parent, dropped = len(page.tag), page.tag, page.parent, page.dropped
+    n, tag, parent = len(page.tag), page.tag, page.parent
+    dropped = _dropped(page)
     chars, links, tags, link_tags, anchor = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
     for i in range(1, n):
         anchor[i] = anchor[parent[i]] or tag[i] == "a"

@@ -152,6 +152,8 @@ ARTICLE = "<article><h1>Title &amp; more</h1><p><b>First&nbsp;one\n is here, lon
     f"<html><body><nav><ul><li><a href=1>Home</a></ul></nav>{ARTICLE}<footer>&copy; me</footer></body></html>",
     f"<body><header><h2>Site</h2></header><aside>Side words that go on</aside><div class='cookie-notice'>We use cookies on this site</div>{ARTICLE}<form><p>Name <input></p></form><script>var t='</p>';</script>",
     f"<div id=wrap><div class='sidebar'>more more more more</div><main>{ARTICLE}<section id='comments'><p>What a fine article this is, I think.</p></section></main></div>",
+    f"<div class='site with-sidebar has-share'><div class='widget sidebar'><p>Other things to read here today.</p></div><div id=respond><h1>Leave a reply</h1></div>{ARTICLE}</div>",
+    f"<div class='entry-content social-links'>{ARTICLE}</div><div class='newsletter-signup'>Get our news every day by mail</div>",
     f"<p>{'<ul><li><a href=a>one link</a><li><a href=b>two links</a><li><a href=c>three links</a></ul>'}{ARTICLE}",
 ])
 def test_main_text(page):
