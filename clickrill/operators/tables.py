@@ -28,9 +28,9 @@ def get_or_create(dimension: DataFrame, wanted: DataFrame, keys: list[str], id_c
     known = dimension.select(*[F.col(k).alias(f"_{k}") for k in keys])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     new = wanted.select(*keys).distinct().join(known, same, "left_anti")
-    last = dimension.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_last"))
+    last = dimension.agg(F.max(id_col)).first()[0] or 0
     # new members of a dimension are few: their order is global
-    numbered = new.withColumn(id_col, F.row_number().over(Window.orderBy(*keys))).crossJoin(F.broadcast(last)).withColumn(id_col, (F.col(id_col) + F.col("_last")).cast("int"))
+    numbered = new.withColumn(id_col, (F.row_number().over(Window.orderBy(*keys)) + last).cast("int"))
     return dimension.select(id_col, *keys).unionByName(numbered.select(id_col, *keys))
 
 
