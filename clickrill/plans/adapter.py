@@ -12,7 +12,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def as_events(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_log rows of a batch or stream of test events. The ip is a number of the visitor's nation."""
-    millis = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    # by parts: the same in any session time zone
+    millis = F.expr("unix_date(CAST(ts AS DATE)) * 86400000L + (hour(ts) * 60L + minute(ts)) * 60000L + CAST(floor(extract(SECOND FROM ts) * 1000) AS BIGINT)")
     k = F.get_json_object("props", "$.k").cast("bigint")
     kind = F.col("event_type")
     en = F.when(kind == "signup", "e_l").when(kind == "view", "e_pv").when(kind == "click", "e_cart").when(kind == "purchase", "e_sod").otherwise("e_e")
