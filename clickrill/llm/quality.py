@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import SPACED_LOWER, Words
+from .tokens import SPACED_LOWER, Words, raw_texts
 
 TRAIN_DOCS = 4000
 TRAIN_LINES = 60
 #: Bytes of texts whose lines are scored together, and lines in one forward-backward pass.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _LOCAL = 16
 N_FEATURES = 3 * _LOCAL + 2
 
@@ -187,13 +187,10 @@ def fit(features: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int
 
 
 def _chunked(texts: pa.Array) -> Iterator[tuple[int, int, Lines]]:
-    texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
     if not n:
         return
-    _, at, raw = texts.buffers()
-    offsets = np.frombuffer(at, np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    data, offsets = raw_texts(texts)
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts of a chunk are hashed together; this many bytes, or one text if that is longer.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _SPACE = [0x20, *range(0x09, 0x0E)]
@@ -88,17 +88,22 @@ class Words:
         return mix(out ^ np.uint64(seed * 0xD1B54A32D192ED03 & _M64))
 
 
-def chunks(texts: pa.Array, alphabet: Alphabet) -> Iterator[tuple[int, int, Words]]:
-    """(from, to, Words) for runs of the texts of about CHUNK bytes; a null text has no words."""
-    texts = texts.cast(pa.large_string())
+def raw_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, uncopied unless it has nulls (which are empty), and where each text begins and ends."""
     if texts.null_count:
         texts = texts.fill_null("")
+    _, at, raw = texts.buffers()
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(at, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8), offsets
+
+
+def chunks(texts: pa.Array, alphabet: Alphabet) -> Iterator[tuple[int, int, Words]]:
+    """(from, to, Words) for runs of the texts of about CHUNK bytes; a null text has no words."""
     n = len(texts)
     if not n:
         return
-    _, at, raw = texts.buffers()
-    offsets = np.frombuffer(at, np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    data, offsets = raw_texts(texts)
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
