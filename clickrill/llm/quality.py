@@ -228,7 +228,7 @@ def _scorer(model: Model):
                 good, _ = marginals(model.odds(x.features), x.first, model.moves)
                 top, low = np.add.reduceat(good * x.weight, x.first[:-1]), np.add.reduceat(x.weight, x.first[:-1])
                 scores += np.clip(top / low, 0.0, 1.0).tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "score"])
 
     return run
 
@@ -236,6 +236,6 @@ def _scorer(model: Model):
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs, and score: 0 to 1, higher is likelier good. A null text counts as empty, which is one
     empty line. Repeated rows get equal scores. Empty table: no rows. A column named score in keep isn't allowed."""
-    rows = docs.select(*keep, F.col(text_col).alias("_scored"))
-    schema = rows.drop("_scored").schema.add("score", "double")
-    return rows.mapInArrow(_scorer(model), schema)
+    rows = docs.select(*[c for c in keep if c != text_col], F.col(text_col).alias("_scored"))
+    schema = rows.withColumn("score", F.lit(0.0)).schema
+    return rows.mapInArrow(_scorer(model), schema).select(*[F.col("_scored").alias(c) if c == text_col else c for c in keep], "score")
