@@ -28,6 +28,8 @@ from .sharding import splitters
 
 DATE = "2024-01-01T00:00:00Z"
 ROLL_BYTES = 32 << 20
+#: A range's payloads, before compression, in files' worth; a task sorts and writes a range or a few.
+RANGE_FILES = 16
 #: An empty gzip member: whatever comes before it, its last byte is 0.
 _EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 
@@ -126,14 +128,15 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", pa
     rows = pages.select(F.col(key).cast("bigint").alias("key"), F.col(url).alias("url"), F.coalesce(payload, F.lit("")).alias("payload"))
     narrow = stored(rows.select("key", F.sha1(F.col("payload").cast("binary")).alias("sha"), F.octet_length("payload").cast("bigint").alias("n")), "warc-keys")
     total = narrow.agg(F.sum(F.col("n") + 512)).first()[0] or 0
-    cuts = splitters(narrow.withColumn("w", F.col("n") + 512), "key", "w", float(total), max(1, math.ceil(total / (8 * roll_bytes)), min(32, math.ceil(total / (1 << 20)))))
+    n_ranges = max(1, math.ceil(total / (RANGE_FILES * roll_bytes)), min(32, math.ceil(total / (1 << 20))))
+    cuts = splitters(narrow.withColumn("w", F.col("n") + 512), "key", "w", float(total), n_ranges)
     firsts = narrow.where(F.col("n") >= min_revisit).groupBy("sha", "n").agg(F.min("key").alias("first"), F.count("*").alias("c")).where("c > 1")
     roles = narrow.join(firsts.drop("c"), ["sha", "n"]).where("key > first OR (key IS NULL AND first IS NOT NULL)").distinct()
     rid = rank_in(cuts, F.col("key"))
     record = "key bigint, url string, rid int, sha string, kind int, first bigint, n bigint, member binary"
     members = rows.select("key", "url", rid.alias("rid"), "payload").mapInArrow(_compress, record)
     roles = roles.select("key", F.lit(None).cast("string").alias("url"), rid.alias("rid"), "sha", F.lit(0).alias("kind"), "first", "n", F.lit(None).cast("binary").alias("member"))
-    ranged = members.unionByName(roles).repartition("rid").sortWithinPartitions("rid", F.col("key").asc_nulls_last(), "sha", "kind", "url")
+    ranged = members.unionByName(roles).repartition(n_ranges, "rid").sortWithinPartitions("rid", F.col("key").asc_nulls_last(), "sha", "kind", "url")
     files = ranged.mapInArrow(_roller(prefix, roll_bytes, date), "file string, data binary")
     tmp = f"{out}/_temporary-{uuid.uuid4().hex}"
     files.select("file", F.col("data").cast("string").alias("data")).write.option("lineSep", "\x00").partitionBy("file").text(f"{tmp}/files")
