@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import rank_in, stored, unused
 
+#: A range of more records or bytes than these is too much for one task.
 ROWS_PER_RANGE = 500_000
+BYTES_PER_RANGE = 256 << 20
 SAMPLE_PER_RANGE = 32
 
 
@@ -56,7 +58,7 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
     n, total = narrow.agg(F.count("*"), F.sum("size")).first()
     if not n:
         return held.select("*", F.lit(0).cast("bigint").alias("size"), F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
-    n_ranges = max(16 * n_shards, math.ceil(n / ROWS_PER_RANGE))
+    n_ranges = max(16 * n_shards, math.ceil(n / ROWS_PER_RANGE), math.ceil(total / BYTES_PER_RANGE))
     #: A range is full by its bytes or by its rows, so many tiny records fill one as well.
     weighed = narrow.withColumn(weight, F.col("size") / float(total) + 1.0 / n)
     at = rank_in(splitters(weighed, key, weight, 2.0, n_ranges), F.col(key))
