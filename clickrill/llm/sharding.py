@@ -18,6 +18,8 @@ from .common import rank_in, stored, unused
 #: A range of more records or bytes than these is too much for one task.
 ROWS_PER_RANGE = 500_000
 BYTES_PER_RANGE = 256 << 20
+#: Boundaries that the driver samples and every row is compared with; beyond them ranges are subdivided like overfull ones.
+MAX_RANGES = 4096
 SAMPLE_PER_RANGE = 32
 
 
@@ -58,11 +60,12 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
     n, total = narrow.agg(F.count("*"), F.sum("size")).first()
     if not n:
         return held.select("*", F.lit(0).cast("bigint").alias("size"), F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
-    n_ranges = max(16 * n_shards, math.ceil(n / ROWS_PER_RANGE), math.ceil(total / BYTES_PER_RANGE))
+    wanted = max(16 * n_shards, math.ceil(n / ROWS_PER_RANGE), math.ceil(total / BYTES_PER_RANGE))
+    n_ranges = min(wanted, MAX_RANGES)
     #: A range is full by its bytes or by its rows, so many tiny records fill one as well.
     weighed = narrow.withColumn(weight, F.col("size") / float(total) + 1.0 / n)
     at = rank_in(splitters(weighed, key, weight, 2.0, n_ranges), F.col(key))
-    target, parts = 2.0 / n_ranges, {}
+    target, parts = 2.0 / wanted, {}
     for r in weighed.groupBy(at.alias(cell)).agg(F.sum(weight).alias("w")).collect():
         parts[r[0]] = 1 if r["w"] <= 2 * target else math.ceil(r["w"] / target)
     first = [0]
@@ -77,7 +80,7 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
     for c, size, rows in sorted(map(tuple, celled(narrow).groupBy(cell).agg(F.sum("size"), F.count("*")).collect())):
         before.append((c, b, r))
         b, r = b + size, r + rows
-    base = F.broadcast(spark.createDataFrame(before, f"{cell} int, {run} bigint, {nth} bigint"))  # a row for each cell, at most 3 * n_ranges
+    base = F.broadcast(spark.createDataFrame(before, f"{cell} int, {run} bigint, {nth} bigint"))  # a row for each cell, at most 3 * wanted
     order = Window.partitionBy(cell).orderBy(key, tie, "size")
 
     def placed(x: DataFrame) -> DataFrame:

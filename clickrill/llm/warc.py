@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import rank_in, stored
-from .sharding import splitters
+from .sharding import MAX_RANGES, splitters
 
 DATE = "2024-01-01T00:00:00Z"
 ROLL_BYTES = 32 << 20
@@ -128,7 +128,7 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", pa
     rows = pages.select(F.col(key).cast("bigint").alias("key"), F.col(url).alias("url"), F.coalesce(payload, F.lit("")).alias("payload"))
     narrow = stored(rows.select("key", F.sha1(F.col("payload").cast("binary")).alias("sha"), F.octet_length("payload").cast("bigint").alias("n")), "warc-keys")
     total = narrow.agg(F.sum(F.col("n") + 512)).first()[0] or 0
-    n_ranges = max(1, math.ceil(total / (RANGE_FILES * roll_bytes)), min(32, math.ceil(total / (1 << 20))))
+    n_ranges = min(MAX_RANGES, max(1, math.ceil(total / (RANGE_FILES * roll_bytes)), min(32, math.ceil(total / (1 << 20)))))
     cuts = splitters(narrow.withColumn("w", F.col("n") + 512), "key", "w", float(total), n_ranges)
     firsts = narrow.where(F.col("n") >= min_revisit).groupBy("sha", "n").agg(F.min("key").alias("first"), F.count("*").alias("c")).where("c > 1")
     roles = narrow.join(firsts.drop("c"), ["sha", "n"]).where("key > first OR (key IS NULL AND first IS NOT NULL)").distinct()

@@ -52,6 +52,13 @@ def test_sharding_of_a_hot_text(spark):
     assert len({r["shard"] for r in got if r["text"].startswith("the same")}) >= 7
 
 
+def test_sharding_with_subdivided_ranges(documents, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_RANGES", 4)
+    got = shards_of(documents)
+    assert len(got) == documents.count()
+    check_law(got, 8)
+
+
 def test_sharding_of_nothing(no_documents, spark):
     assert shards_of(no_documents) == []
     assert [(r["shard"], r["slot"]) for r in shards_of(spark.createDataFrame(rows([(1, None)]), SCHEMA))] in ([(s, 0)] for s in range(8))
