@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickrill.llm import decontaminate, mixing, neardup, quality, sharding
@@ -16,6 +16,8 @@ from clickrill.llm.common import read, shared_dir
 
 #: Shares of expected tokens among what is left after the filters. Toxic documents are thinned out to theirs.
 WEIGHTS = {"clean": 0.95, "toxic": 0.05}
+#: Fits of the rates at most.
+ROUNDS = 6
 SHARDS = 8
 
 
@@ -44,18 +46,40 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents thinned out towards WEIGHTS. The expected clean tokens stay what they are, so clean documents have rates
-    of about 1, which count as 1; a document isn't repeated."""
+    """Documents thinned out to WEIGHTS: each stays with the chance of its fitted rate, by a hash. A document isn't
+    repeated, so rates over 1 count as 1, and the shares are fitted to what is left then. The expected clean tokens stay
+    what they are but for that; a domain below its share stays whole."""
     model = mixing.train(docs, read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean").alias("domain")), sorted(WEIGHTS))
     members = mixing.stored(mixing.memberships(docs.select("doc_id", "text"), model).drop("text"), "members")
-    clean = float(members.agg(F.sum(F.col("n_tokens") * F.col("p_clean"))).first()[0] or 0)
-    targets = {d: clean * w / WEIGHTS["clean"] for d, w in WEIGHTS.items()}
-    now = members.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in targets]).first()
-    rate, _ = mixing.fit_rates(members, {d: min(t, float(now[d])) for d, t in targets.items()})
-    gone = members.where(mixing.copies(rate, F.col("doc_id"), snap=0.25) < 1).select(F.col("doc_id").alias("_id")).distinct()
+    rate = _rates(members)
+    gone = members.where(mixing.copies(rate, F.col("doc_id"), snap=0.0) < 1).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti").select(*docs.columns)
 
 
+def _rates(members: DataFrame) -> Column:
+    """Chances to stay, 0 to 1, that bring the expected tokens to WEIGHTS. Capping at 1 takes some clean tokens, so the
+    other targets are fitted again until they have their shares of the capped ones."""
+
+    def tokens(rate: Column) -> dict[str, float]:
+        return members.agg(*[F.coalesce(F.sum(rate * F.col("n_tokens") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in WEIGHTS]).first().asDict()
+
+    now = tokens(F.lit(1.0))
+    ratio = {d: w / WEIGHTS["clean"] for d, w in WEIGHTS.items()}
+    targets, best, least = {d: min(now[d], now["clean"] * x) for d, x in ratio.items()}, F.lit(1.0), float("inf")
+    for _ in range(ROUNDS):
+        rate = F.least(F.lit(1.0), mixing.fit_rates(members, targets)[0])
+        kept = tokens(rate)
+        wanted = {d: min(now[d], kept["clean"] * x) for d, x in ratio.items()}
+        off = sum(abs(kept[d] - wanted[d]) for d in ratio if d != "clean") / max(1.0, kept["clean"])
+        if off < least:
+            best = rate
+        if off <= 1e-4 or off > 0.9 * least:  # met, or not to be met
+            break
+        least = off
+        targets = {d: t if d == "clean" or not kept[d] else min(now[d], t * wanted[d] / kept[d]) for d, t in targets.items()}
+    return best
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns, and the record's size, shard and slot in it."""
     return sharding.shard(docs, SHARDS)

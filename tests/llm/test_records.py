@@ -301,3 +301,19 @@ def test_pipeline_stages_on_odd_rows(spark, odd_documents, no_documents):
             out = stage(spark, df, SF)
             assert name == "sharding" or out.columns == df.columns
             assert out.count() <= df.count()
+
+
+@pytest.mark.parametrize("percent", [6, 12, 33])
+def test_pipeline_mixing_meets_the_weights(spark, tmp_path, percent):
+    import corpus_pipeline
+
+    n = 4000
+    toxic = F.pmod(F.xxhash64("doc_id"), F.lit(100)) < percent
+    word = lambda k: F.concat(F.when(toxic, "vile").otherwise("fair"), F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(20)).cast("string"))
+    docs = spark.range(n).withColumnRenamed("id", "doc_id").select("doc_id", F.concat_ws(" ", *[word(k) for k in range(20)]).alias("text"))
+    docs.select("doc_id", toxic.cast("int").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    had = {r[0]: r[1] for r in docs.groupBy(toxic).count().collect()}
+    got = {r[0]: r[1] for r in corpus_pipeline.mix_domains(spark, docs, str(tmp_path)).groupBy(toxic).count().collect()}
+    assert had[True] > 1.1 * n * corpus_pipeline.WEIGHTS["toxic"]
+    assert got[False] >= 0.99 * had[False]
+    assert abs(got.get(True, 0) / sum(got.values()) - corpus_pipeline.WEIGHTS["toxic"]) < 0.008
