@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; the last adds the shard
 and the slot of each record. run() hands each stage's Parquet output to the next.
+
+A document is an id and a text, and stages decide on documents: rows with one id and different texts are several, and so
+are rows without an id; a null text is one of its own, other than an empty one. They are told apart by a 64-bit hash of
+both. Rows that repeat a document are one document, of which the near-duplicates stage keeps one row; the other stages
+decide alike on all of them.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickrill.llm import decontaminate, mixing, neardup, quality, sharding
-from clickrill.llm.common import read, shared_dir
+from clickrill.llm.common import read, shared_dir, stored, unused
 
 #: Shares of expected tokens among what is left after the filters. Toxic documents are thinned out to theirs.
 WEIGHTS = {"clean": 0.95, "toxic": 0.05}
@@ -21,8 +26,15 @@ ROUNDS = 6
 SHARDS = 8
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a hash that tells documents apart, and that column's name."""
+    (key,) = unused(docs, "_document")
+    return docs.withColumn(key, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")), key
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose lines the classifier finds good on the whole. Null texts are scored as empty ones."""
+    """Documents whose lines the classifier finds good on the whole. Null texts are scored as empty ones. A row is judged by
+    its own text, whatever its id; rows that repeat a document stay or go together."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = quality.train(docs, read(spark, sf_dir, "labels").where(~held_out))
     columns = docs.columns
@@ -32,28 +44,43 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8: the one with the smallest id."""
-    linked = neardup.link(docs, length=5, percent=80)
-    gone = linked.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti").select(*docs.columns)
+    """One document of each group linked by five-word shingles at a similarity of 0.8: the one with the smallest id, null
+    last (of equal ids, the smallest hash). Documents without words link with nothing and stay. One row of each document."""
+    keyed, key = _keyed(docs)
+    rows = keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("id"), "text")
+    linked = stored(neardup.link(rows, length=5, percent=80, id_col="k").select("k", F.col("component_id").alias("c"), "kept"), "linked")
+    others = linked.where(~F.col("kept")).select("k", "c").distinct()
+    members = others.unionByName(others.select(F.col("c").alias("k"), "c").distinct())
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "k")
+    ranked = stored(members.join(rows.select("k", "id").distinct(), "k").select("c", "k", order.alias("o")), "members")
+    first = ranked.groupBy("c").agg(F.min("o")["k"].alias("first"))
+    gone = ranked.join(first, "c").where("k != first").select(F.col("k").alias(key)).distinct()
+    left = keyed.join(gone, key, "left_anti")
+    again = stored(linked.groupBy("k").count().where("count > 1").select(F.col("k").alias(key)), "repeated")
+    if not again.isEmpty():
+        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key]))
+    return left.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lies in a benchmark window."""
-    found = decontaminate.find(docs, read(spark, sf_dir, "benchmark"))
-    bad = found.where("n_hit > 0 AND 20 * n_hit >= n_words").select(F.col("id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti").select(*docs.columns)
+    """Documents of which less than a twentieth of the words lies in a benchmark window. Each is judged by its own text,
+    also without an id; rows that repeat a document stay or go together."""
+    keyed, key = _keyed(docs)
+    found = decontaminate.find(keyed.select(key, "text"), read(spark, sf_dir, "benchmark"), doc_col=key)
+    bad = found.where("n_hit > 0 AND 20 * n_hit >= n_words").select(F.col("id").alias(key)).distinct()
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents thinned out to WEIGHTS: each stays with the chance of its fitted rate, by a hash. A document isn't
     repeated, so rates over 1 count as 1, and the shares are fitted to what is left then. The expected clean tokens stay
-    what they are but for that; a domain below its share stays whole."""
+    what they are but for that; a domain below its share stays whole. Documents without an id are drawn one by one; rows
+    that repeat a document stay or go together."""
     model = mixing.train(docs, read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean").alias("domain")), sorted(WEIGHTS))
-    members = mixing.stored(mixing.memberships(docs.select("doc_id", "text"), model).drop("text"), "members")
-    rate = _rates(members)
-    gone = members.where(mixing.copies(rate, F.col("doc_id"), snap=0.0) < 1).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti").select(*docs.columns)
+    keyed, key = _keyed(docs)
+    members = stored(mixing.memberships(keyed.select(key, "text"), model).drop("text"), "members")
+    gone = members.where(mixing.copies(_rates(members), F.col(key), snap=0.0) < 1).select(key).distinct()
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def _rates(members: DataFrame) -> Column:

@@ -317,3 +317,40 @@ def test_pipeline_mixing_meets_the_weights(spark, tmp_path, percent):
     assert had[True] > 1.1 * n * corpus_pipeline.WEIGHTS["toxic"]
     assert got[False] >= 0.99 * had[False]
     assert abs(got.get(True, 0) / sum(got.values()) - corpus_pipeline.WEIGHTS["toxic"]) < 0.008
+
+
+def test_pipeline_stages_judge_documents_not_ids(spark, odd_documents):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["near_duplicates"](spark, odd_documents, SF).select("doc_id", "text").collect()
+    had = {tuple(r) for r in odd_documents.select("doc_id", "text").collect()}
+    assert len(set(got)) == len(got) and {tuple(r) for r in got} <= had
+    left = {tuple(r) for r in got}
+    # unique documents without an id stay, the copy without an id goes, and so does not what shares its id
+    assert {(None, None), (None, "x y z")} <= left and (None, texts(2, 3)[1][1]) not in left
+    assert (5, "another text under id five " * 8) in left and {(1, None), (2, ""), (3, " \n\t "), (403, "a")} <= left
+
+    words = lambda seed, n: " ".join(f"{w}{seed}" for w in "alpha beta gamma delta eps zeta eta theta iota kappa".split()[:n] * 3)
+    near = words(1, 10)
+    odd = [(None, near), (None, near + " more"), (None, words(2, 10)), (7, words(3, 10)), (7, words(3, 10) + " more"), (7, words(4, 10)), (9, words(5, 10)), (9, words(5, 10)), (8, words(2, 10) + " more")]
+    df = spark.createDataFrame(rows(odd), SCHEMA)
+    got = stages["near_duplicates"](spark, df, SF).select("doc_id", "text").collect()
+    ids = sorted(str(r["doc_id"]) for r in got)
+    assert ids == ["7", "7", "8", "9", "None"] and (7, words(4, 10)) in got  # one of each group, one row of each document
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").orderBy("item_id").first()["text"]
+    df = spark.createDataFrame(rows([(None, item), (None, words(1, 10)), (7, item), (7, words(2, 10)), (None, None)]), SCHEMA)
+    got = {tuple(r) for r in stages["decontamination"](spark, df, SF).select("doc_id", "text").collect()}
+    assert got == {(None, words(1, 10)), (7, words(2, 10)), (None, None)}
+
+
+def test_pipeline_mixing_draws_documents_without_ids_one_by_one(spark, tmp_path):
+    import corpus_pipeline
+
+    n = 1000
+    toxic = F.col("id") % 3 == 0
+    docs = spark.range(n).select(F.when(F.col("id") < n // 2, F.col("id")).alias("doc_id"), F.concat(F.when(toxic, "vile bad ").otherwise("fair good "), F.col("id").cast("string")).alias("text"))
+    docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").startswith("vile").cast("int").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.mix_domains(spark, docs, str(tmp_path)).where("doc_id IS NULL").select(F.col("text").startswith("vile").alias("vile")).collect()
+    assert len([r for r in got if not r["vile"]]) > 300 and 0 < len([r for r in got if r["vile"]]) < 60
