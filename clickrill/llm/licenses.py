@@ -15,7 +15,7 @@ from .common import unused
 #: (label, keyword, phrase): every place counts, suppressed or not.
 BASE = [("cc-by", "cc by", "cc by"), ("gpl", "general public license", "general public license"), ("reserved", "all rights reserved", "all rights reserved")]
 #: Every keyword below contains one of these.
-ROOTS = ["licen", "creative commons", " cc", "gpl", "gfdl", "copyright", "rights", "public domain", "copyleft", "permission", "warrant", "without limitation", "unlicense", "proprietary", "confidential", "trademark", "redistribut", "spdx", "open source", "terms of"]
+ROOTS = ["licen", "creative commons", " cc", "gpl", "gfdl", "copyright", "rights", "public domain", "copyleft", "permission", "warrant", "without limitation", "unlicense", "proprietary", "confidential", "trademark", "redistribut", "spdx", "open source", "terms of", "perl itself", "lizenz", "cecill", "good not evil", "vorbehalten", "consent", "trade secret"]
 _V = "(?:version |v)?"
 _LATER = "(?: or (?:any |at your option any )?(?:later|newer|greater)(?: version)?| only)?"
 
@@ -108,7 +108,7 @@ python-2.0 2 licen python (?:software foundation )?licen[cs]e
 psf 2 licen psf licen[cs]e
 ruby 2 licen ruby licen[cs]e
 php 2 licen php licen[cs]e
-perl 3 terms of under the same terms (?:of licen[cs]e )?as perl itself
+perl 3 perl itself under the same terms (?:of licen[cs]e )?as perl itself
 perl 2 terms of the terms of perl itself
 openssl 2 licen openssl licen[cs]e
 ncsa 2 licen (?:university of illinois )?ncsa (?:open source )?licen[cs]e
@@ -127,8 +127,8 @@ ogl-3.0 3 licen open government licen[cs]e (?:version |v)?3(?: 0)?
 ogl-2.0 3 licen open government licen[cs]e (?:version |v)?2(?: 0)?
 ogl 2 licen open government licen[cs]e
 etalab 2 licen licence ouverte
-dl-de-by 2 licen datenlizenz deutschland namensnennung
-cecill 2 licen (?:cecill|licence cecill)(?: licen[cs]e)?
+dl-de-by 2 lizenz datenlizenz deutschland namensnennung
+cecill 2 cecill (?:cecill|licence cecill)(?: licen[cs]e)?
 ms-pl 2 licen microsoft public license
 ms-rl 2 licen microsoft reciprocal license
 sspl 3 licen server side public license
@@ -142,7 +142,7 @@ sleepycat 2 licen sleepycat licen[cs]e
 vim 2 licen vim licen[cs]e
 w3c 2 licen w3c (?:software )?(?:notice and )?licen[cs]e
 json 2 licen json licen[cs]e
-json 3 licen the software shall be used for good not evil
+json 3 good not evil the software shall be used for good not evil
 beerware 2 licen beer ?ware licen[cs]e
 curl 2 licen curl licen[cs]e
 icu 2 licen (?:icu|unicode) licen[cs]e
@@ -163,7 +163,8 @@ llama 2 licen llama (?:[0-9] )?community license(?: agreement)?
 gemma 2 terms of gemma terms of use
 game-ogl 2 licen open game license
 opl 2 licen open (?:publication|content) license
-d-fsl 2 licen (?:deutsche freie software lizenz|german free software license)
+d-fsl 2 lizenz deutsche freie software lizenz
+d-fsl 2 licen german free software license
 against-drm 2 licen against drm license
 free-art 2 licen (?:free art license|licence art libre)
 cc0-1.0 3 cc cc ?0 (?:version |v)?1 0(?: universal)?
@@ -181,7 +182,8 @@ public-domain 1 public domain public domain
 us-government 3 public domain work of the (?:u s|us|united states) government (?:and is )?in the public domain
 us-government-rights 3 rights u s government (?:users )?restricted rights
 reserved 2 rights (?:all )?rights reserved
-reserved 3 rights alle rechte vorbehalten|all rights reserved worldwide
+reserved 3 vorbehalten alle rechte vorbehalten
+reserved 3 rights all rights reserved worldwide
 reserved 2 rights some rights reserved
 no-rights-reserved 2 rights no rights reserved
 reserved 3 rights all rights (?:are )?reserved no part of this (?:publication|book|work|site)
@@ -196,7 +198,8 @@ copyleft 1 copyleft copyleft
 fair-use 2 copyright fair use (?:under|of) (?:section 107 of )?(?:the )?copyright(?: act)?
 dmca 2 copyright digital millennium copyright act
 crown 2 copyright crown copyright
-permission-required 2 permission without (?:the )?(?:prior |express |explicit )*(?:written )?(?:permission|consent)
+permission-required 2 permission without (?:the )?(?:prior |express |explicit )*(?:written )?permission
+permission-required 2 consent without (?:the )?(?:prior |express |explicit )*(?:written )?consent
 permission-granted 2 permission (?:used|reprinted|reproduced|republished) (?:with|by) (?:the )?(?:kind )?permission
 permission-granted 1 permission permission is (?:hereby )?granted
 permission-required 1 permission (?:prior )?written permission (?:is required|from|of)
@@ -211,7 +214,8 @@ no-warranty 2 warrant merchantability (?:or|and) fitness for a particular purpos
 proprietary 2 proprietary proprietary and confidential
 proprietary 1 proprietary proprietary (?:information|software|rights|license)
 confidential 1 confidential (?:strictly )?confidential(?: information)?
-trade-secret 1 proprietary (?:trade secret|proprietary secret)s?
+trade-secret 1 trade secret trade secrets?
+trade-secret 1 proprietary proprietary secrets?
 trademark 1 trademark (?:registered )?trademarks? (?:of|are the property of)
 trademark 2 trademark all (?:other )?trademarks are (?:the )?property of their respective owners
 terms-of-use 1 terms of (?:subject to |see |our )?(?:the )?terms of (?:use|service)

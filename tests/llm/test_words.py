@@ -246,6 +246,46 @@ def test_license_rules():
         assert label and priority in (1, 2, 3) and any(r in " " + keyword for r in licenses.ROOTS), (label, keyword)
 
 
+def samples_of(rx):
+    """Texts that a rule's expression matches: every alternative, optional parts left out and put in."""
+    from itertools import product
+    from re import _parser as parser
+
+    def expand(node):
+        out = [""]
+        for op, x in node:
+            kind = str(op)
+            if kind == "LITERAL":
+                each = [chr(x)]
+            elif kind == "ANY":
+                each = ["x"]
+            elif kind == "IN":
+                each = [chr(v if str(o) == "LITERAL" else v[0]) for o, v in x]
+            elif kind == "BRANCH":
+                each = [y for b in x[1] for y in expand(b)]
+            elif kind == "SUBPATTERN":
+                each = expand(x[-1])
+            else:
+                assert kind == "MAX_REPEAT", kind
+                each = [""] * (x[0] == 0) + [y * max(1, x[0]) for y in expand(x[2])]
+            out = ["".join(p) for p in product(out, dict.fromkeys(each))]
+        return out
+
+    return expand(parser.parse(rx))
+
+
+def test_license_gates_let_their_own_texts_through():
+    shut = [(label, keyword, x) for label, _, keyword, rx in licenses.RULES for x in samples_of(rx) if keyword not in f" {x} " or not any(r in f" {x} " for r in licenses.ROOTS)]
+    assert not shut, shut[:10]
+
+
+def test_license_texts_without_english_words_are_found(spark):
+    wanted = {"alle rechte vorbehalten": "reserved", "Datenlizenz Deutschland - Namensnennung": "dl-de-by", "Deutsche Freie Software Lizenz": "d-fsl", "CeCILL": "cecill", "a trade secret": "trade-secret", "without prior written consent": "permission-required"}
+    docs = spark.createDataFrame(list(enumerate(wanted)), "doc_id bigint, text string")
+    got = {r["text"]: r["labels"] for r in licenses.scan(docs).collect()}
+    assert got == {x: [label] for x, label in wanted.items()}
+
+
 def test_license_scan_of_nothing(no_documents):
     assert licenses.scan(no_documents).collect() == []
     assert licenses.scan(no_documents).where(F.lit(True)).columns[: len(no_documents.columns)][0] == "doc_id"
