@@ -1,7 +1,13 @@
-"""Words of whole columns of texts at once, as 64-bit hashes, with NumPy."""
+"""Words of whole columns of texts at once, as 64-bit hashes, with NumPy.
+
+A word's hash mixes its bytes (16 at most; a longer word is a keyed BLAKE2b digest), so words of 8 bytes or fewer and of
+one length never share one. Equal words have equal hashes; what must hold the other way round is compared by bytes, or by
+digests of bytes, where it matters.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +16,9 @@ import pyarrow as pa
 #: Texts of a chunk are hashed together; this many bytes, or one text if that is longer.
 CHUNK = 1 << 20
 _M64 = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _SPACE = [0x20, *range(0x09, 0x0E)]
-_rng = np.random.default_rng(20240101)
-_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 class Alphabet:
@@ -23,9 +27,8 @@ class Alphabet:
     def __init__(self, separators: list[int], lower: bool):
         self.is_word = np.ones(256, bool)
         self.is_word[separators] = False
-        self.value = _VALUE.copy()
         fold = bytes(range(256)).lower() if lower else bytes(range(256))
-        self.value = _VALUE[np.frombuffer(fold, np.uint8)]
+        self.fold = np.frombuffer(fold, np.uint8) if lower else None
         self.table = bytes(fold[i] if self.is_word[i] else 0x20 for i in range(256))
 
     def split(self, text: str | None) -> list[bytes]:
@@ -46,20 +49,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow[0]) < n:
-        n = max(n, CHUNK)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            _pow[i] = np.cumprod(out)
-    return _pow[0], _pow[1]
-
-
 class Words:
-    """Words of consecutive texts: starts and stops (bytes into data), hashes, and where each text's words begin (first)."""
+    """Words of consecutive texts: starts and stops (bytes into data), hashes, and where each text's words begin (first).
+    Hashes under another key are other ones: whoever doesn't know the key can't make words that share a hash."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet, key: int = 0):
         n = len(data)
         self.data, self.offsets = data, offsets
         w = alphabet.is_word[data]
@@ -71,12 +65,41 @@ class Words:
         last = offsets[1:][offsets[1:] > 0] - 1
         end[last] = w[last]
         self.starts, self.stops = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        power, inverse = _powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(alphabet.value[data] * power[:n], out=sums[1:])
-        self.hashes = mix((sums[self.stops] - sums[self.starts]) * inverse[self.starts] + (self.stops - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.folded = np.zeros(n + 24, np.uint8)
+        self.folded[:n] = data if alphabet.fold is None else alphabet.fold[data]
+        self.hashes = self._hash(key)
         self.first = np.searchsorted(self.starts, offsets)
 
+    def _hash(self, key: int) -> np.ndarray:
+        size = self.stops - self.starts
+        at = np.ndarray(len(self.folded) - 7, "<u8", self.folded, strides=(1,))  # the 8 bytes from each place on
+        low = at[self.starts] & _FIRST[np.minimum(size, 8)]
+        high = at[self.starts + np.minimum(size, 8)] & _FIRST[np.clip(size - 8, 0, 8)]
+        out = mix(low ^ mix((high ^ np.uint64(key & _M64)) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        long = np.flatnonzero(size > 16)
+        if len(long):
+            raw, secret = self.folded.tobytes(), (key & _M64).to_bytes(8, "little")
+            out[long] = np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8, key=secret).digest() for a, b in zip(self.starts[long].tolist(), self.stops[long].tolist(), strict=True)]), "<u8")
+        return out
+
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The words with one space after each, and where each begins and ends in them."""
+        size = self.stops - self.starts
+        begin = np.cumsum(size + 1) - size - 1
+        out = np.full(int((size + 1).sum()), 0x20, np.uint8)
+        shift = np.repeat(begin - self.starts, size)
+        at = np.arange(len(shift)) + np.repeat(self.starts - (np.cumsum(size) - size), size)
+        out[at + shift] = self.folded[at]
+        return out.tobytes(), begin, begin + size
+
+    def digests(self, at: np.ndarray, length: int) -> list[bytes]:
+        """128-bit BLAKE2b digests of the bytes of the windows of `length` words that start at the given words."""
+        if not len(at):
+            return []
+        raw, begin, end = self.joined()
+        blake = hashlib.blake2b
+        return [blake(raw[a:b], digest_size=16).digest() for a, b in zip(begin[at].tolist(), end[at + length - 1].tolist(), strict=True)]
+
     def windows(self, length: int, seed: int = 0) -> np.ndarray:
         """Hashes of the windows of `length` words that start at each word; those that run past the last word of the
         column are missing, those that run past their text's end are there and mean nothing."""
@@ -98,7 +121,7 @@ def raw_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8), offsets
 
 
-def chunks(texts: pa.Array, alphabet: Alphabet) -> Iterator[tuple[int, int, Words]]:
+def chunks(texts: pa.Array, alphabet: Alphabet, key: int = 0) -> Iterator[tuple[int, int, Words]]:
     """(from, to, Words) for runs of the texts of about CHUNK bytes; a null text has no words."""
     n = len(texts)
     if not n:
@@ -107,5 +130,5 @@ def chunks(texts: pa.Array, alphabet: Alphabet) -> Iterator[tuple[int, int, Word
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
-        yield i, j, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], alphabet)
+        yield i, j, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], alphabet, key)
         i = j

@@ -70,6 +70,74 @@ def test_substrings_in_small_batches(spark, documents):
     assert {r["id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute.substring(pairs(documents))
 
 
+def test_substrings_with_hot_anchors(documents, monkeypatch):
+    """Windows of an anchor with many places meet by their own names, and the result is the same."""
+    monkeypatch.setattr(substrings, "HOT_PLACES", 2)
+    monkeypatch.setattr(substrings, "HOT_ANCHORS", 10**9)
+    got = substrings.dedup(documents).collect()
+    assert {r["id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute.substring(pairs(documents))
+
+
+def test_substrings_of_one_line_beside_other_words(spark):
+    """One anchor with a place in each document: all of them hot, none a repeat but the last."""
+    line = " ".join(f"line{i}" for i in range(10))
+    docs = [(i, f"{' '.join(f'a{i}x{k}' for k in range(9))} {line} {' '.join(f'b{i}x{k}' for k in range(9))}") for i in range(300)]
+    docs.append((300, docs[7][1]))
+    sent, hot = substrings._sent(substrings._keyed(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text"), 20)
+    assert sent.count() > 0 and not len(hot)
+    got = {r["id"]: r["n_removed"] for r in substrings.dedup(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == {**dict.fromkeys(range(300), 0), 300: 28}
+
+
+def test_first_rung_counts_places(spark, monkeypatch):
+    """Anchors that a task has met twice send counts in place of rows, and count as hot with all their places."""
+    import pyarrow as pa
+
+    from clickrill.llm import tokens as t
+
+    monkeypatch.setattr(t, "CHUNK", 400)
+    r = __import__("random").Random(3)
+    line = " ".join(f"line{i}" for i in range(20))
+    docs = [f"{' '.join(r.choice('abcdefgh') + str(r.randrange(99)) for _ in range(10))} {line}" for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array([7] * 200, pa.int64()), pa.array(docs)], names=["id", "t", "text"])
+    out = pa.Table.from_batches(list(substrings._rung1(20)(iter([batch])))).combine_chunks()
+    counts = out.filter(pa.compute.equal(out["pos"], substrings._COUNT))
+    assert counts.num_rows and sum(counts["n"].to_pylist()) > 150
+    rows_ = out.sort_by("h").to_batches(max_chunksize=3)
+    found = pa.Table.from_batches(list(substrings._repeated(100)(iter(rows_)))).to_pylist()
+    assert {x["id"] for x in found if x["pos"] >= 0} == set(range(200))
+    assert len({x["id"] for x in found if x["pos"] < 0}) >= 1 and all(x["id"] == x["t"] for x in found if x["pos"] < 0)
+    assert not [x for x in pa.Table.from_batches(list(substrings._repeated(200)(iter(rows_)))).to_pylist() if x["pos"] < 0]
+
+
+#: Two words that share every polynomial hash modulo 2**64, whatever its base.
+TWINS = ["".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(2048)) for flip in (0, 1)]
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{TWINS[0]} {rest}"), (2, f"{TWINS[1]} {rest}"), (3, f"{TWINS[0]} {rest}")], "doc_id bigint, text string")
+    assert {r["id"]: r["n_removed"] for r in substrings.dedup(docs).collect()} == {1: 0, 2: 0, 3: 20}
+    items = spark.createDataFrame([(9, f"{TWINS[0]} {' '.join(rest.split()[:12])}")], "item_id bigint, text string")
+    assert {r["id"]: r["n_hit"] for r in decontaminate.find(docs, items).collect()} == {1: 13, 2: 0, 3: 13}
+    short = spark.createDataFrame([(1, TWINS[0]), (2, TWINS[1]), (3, TWINS[0])], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.link(short, 3, 85).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_equal_hashes_in_a_window_are_no_match(spark, monkeypatch):
+    """Hashes of words only choose candidates: with all of them equal, bytes still decide."""
+    import numpy as np
+
+    monkeypatch.setattr(tokens.Words, "_hash", lambda self, key: np.ones(len(self.starts), np.uint64))
+    import pyarrow as pa
+
+    text = [" ".join(f"{x}{i}" for i in range(20)) for x in "ab"]
+    docs = pa.array([*text, text[0]])
+    for _, _, words in tokens.chunks(docs, tokens.SPACED):
+        names = words.digests(np.array([0, 20, 40]), 20)
+    assert names[0] == names[2] != names[1]
+
+
 def test_ladder(documents, no_documents):
     """Every rung against counts of all windows, up to the longest that repeats."""
     docs = [(i, brute.SPACED.findall(t or "")) for i, t in pairs(documents)]
