@@ -26,6 +26,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of numbers that may be sent to every task.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A stored table of numbers, marked for broadcast if it is counted to have BROADCAST_ROWS rows at most; a larger one is
+    left to be joined by shuffling."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -192,21 +192,63 @@ def test_decontamination_odd(spark, odd_documents, no_documents):
     assert all(r["n_hit"] == 0 for r in decontaminate.find(odd_documents, items.limit(0)).collect())
 
 
-def test_proximity(spark):
+def spread(text, window, slop):
+    """Stretches of the text that have the window's words in order, with 1 to slop others: all of them, by brute force."""
+    w = brute.ALNUM.findall((text or "").translate(brute.LOWER))
+    out = set()
+    for s in range(len(w)):
+        at, k = s, 0
+        while at < len(w) and k < len(window):
+            if w[at] == window[k]:
+                k += 1
+            elif at == s:
+                break
+            at += 1
+        if k == len(window) and len(window) < at - s <= len(window) + slop:
+            out.add((s, at - s))
+    return out
+
+
+@pytest.mark.parametrize("slop", [2, 5])
+def test_proximity(spark, slop):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
-    docs = [(1, f"x {item} y"), (2, item.replace("six", "six extra words")), (3, "one seven thirteen"), (4, " ".join(reversed(item.split()))), (5, None)]
+    r = __import__("random").Random(slop)
+    docs = [(1, f"x {item} y"), (2, item.replace("six", "six extra words")), (3, "one seven thirteen"), (4, " ".join(reversed(item.split()))), (5, None), (6, item.replace("two", "two a b c d e f g")), (7, item.replace("two", "too"))]
+    for i in range(60):
+        w = item.split()
+        for _ in range(r.randrange(1, 7)):
+            w.insert(r.randrange(1, len(w)), r.choice(["x", "y", "one", "six", "thirteen"]))
+        docs.append((10 + i, " ".join(["z"] * r.randrange(4) + w)))
     items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
-    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
-    assert {r["id"] for r in decontaminate.proximity(docs, items).collect()} >= {1, 2}
-    assert not {r["id"] for r in decontaminate.proximity(docs, items, slop=1).collect()} & {4, 5}
-    assert {r["id"] for r in decontaminate.find(docs, items).where("n_hit > 0").collect()} == {1}
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id bigint, text string"), items, slop=slop).collect()
+    expected = {i: spread(x, item.split(), slop) for i, x in docs}
+    for r in got:
+        own = {(m["position"], m["length"]) for m in r["near"]}
+        assert own <= expected[r["id"]] and bool(own) == bool(expected[r["id"]]), r["id"]
+    assert sum(bool(x) for x in expected.values()) > 10
+    assert {r["id"] for r in got if r["n_hit"]} == {1}
+
+
+def test_one_index_serves_several_benchmarks(spark, documents, monkeypatch):
+    """The index holds every word, long lists in several rows; terms with many occurrences are dealt out."""
+    monkeypatch.setattr(decontaminate, "SHARE", 3)
+    postings = decontaminate.index(documents)
+    assert postings.agg(F.sum(F.size("ids"))).first()[0] == sum(len(brute.ALNUM.findall((t or "").translate(brute.LOWER))) for _, t in pairs(documents))
+    for own in (ITEMS[:3], ITEMS[3:]):
+        items = spark.createDataFrame(own, "item_id bigint, text string")
+        expected = {x[0]: x[2] for x in brute.contamination(pairs(documents), own)}
+        assert {r["id"]: r["n_hit"] for r in decontaminate.find(documents, items, postings=postings).collect()} == expected
 
 
-def test_without_a_term_filter(spark, documents, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MAX_TERMS", 3)
-    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    expected = {x[0]: x[2] for x in brute.contamination(pairs(documents), ITEMS)}
-    assert {r["id"]: r["n_hit"] for r in decontaminate.find(documents, items).collect()} == expected
+def test_long_lists_are_cut(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontaminate, "LIST", 3)
+    b = pa.RecordBatch.from_arrays([pa.array([1, None, 3]), pa.array(["a a a a a", "a b", None])], names=["id", "text"])
+    rows_ = [x for out in decontaminate._postings(iter([b])) for x in out.to_pylist()]
+    assert sorted(len(x["ids"]) for x in rows_) == [1, 3, 3]
+    assert sorted(((x["term"], i, p) for x in rows_ for i, p in zip(x["ids"], x["positions"], strict=True)), key=str)
+    assert {(i, p) for x in rows_ for i, p in zip(x["ids"], x["positions"], strict=True)} == {*((1, p) for p in range(5)), (None, 0), (None, 1)}
 
 
 @pytest.mark.parametrize(("length", "percent"), [(3, 85), (5, 80)])
