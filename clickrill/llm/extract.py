@@ -1,10 +1,18 @@
 """Main text of HTML pages by composite text density.
 
-For every DOM node: characters per tag, adjusted by the share of its characters and tags that are links. The node whose
-children's densities have the largest sum is the core (markup inside a paragraph counts as part of it); the smallest density on the path from it to the body is the
-threshold, and below every node that reaches it, the node with the largest sum is content with all that it holds.
-Elements that never hold an article (scripts, menus, forms, adverts, reader comments ...) are left out beforehand, and
-lists of links inside content too. Nodes are kept in document order, so nothing here recurses, however deep a page nests.
+For every DOM node: characters per tag, adjusted by the share of its characters and tags that are links. A node's density
+sum is that of its children's densities (markup inside a paragraph counts as part of it, and a paragraph's sum is its own
+density). The node with the largest sum is the core. The smallest density on the path from it to the body is the threshold:
+from a core that holds no paragraphs itself the search goes down again, as long as one child that holds blocks reaches
+the core's own density; and up again, to the article element about it or to the parent of several parts of one kind that
+all reach the threshold. That subtree is the article; menus, headers, footers, sidebars, notices and adverts
+beside it are left out because density doesn't choose them, whatever their names.
+
+Only elements whose text is never shown as text (scripts, styles, form controls ...) are left out beforehand. Lists of tag
+and class names serve inside the chosen subtree alone, for what an article's own element may hold besides (reader comments,
+sharing, adverts between paragraphs), and keep an element so named from being the core. Where no element but the
+body holds the text, class names aren't used at all. Nodes are kept in document order, so nothing here recurses,
+however deep a page nests.
 """
 
 from __future__ import annotations
@@ -20,8 +28,13 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-DROP = frozenset("script style noscript template nav footer aside form button select textarea iframe object svg canvas head title menu dialog audio video map option datalist".split())
-#: Words of a class, id or role that mark an element as no part of the article.
+#: Never shown as text of the page.
+NEVER = frozenset("script style noscript template head title button select textarea iframe object svg canvas audio video map option datalist".split())
+#: No part of an article inside its element.
+ASIDE = frozenset("nav footer aside form menu dialog".split())
+#: What text stands in.
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
+#: Words of a class, id or role that mark an element inside the article's as no part of it.
 BOILERPLATE = frozenset("ad ads adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert newsletter subscribe subscription sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead respond reply replies disqus share sharing social related recommended popup modal overlay toolbar pagination pager login signup search skip complementary contentinfo toc disclaimer outbrain taboola".split())
 _STARTS = ("advert", "comment", "adsby", "sidebar", "navigation", "cookie", "newsletter")
 #: Never part of a wrapper's name.
@@ -37,7 +50,7 @@ FREE, PERHAPS, LIKELY, SURE = 0, 1, 2, 3
 
 
 def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
-    if tag in DROP or (tag == "header" and not inside):
+    if tag in NEVER or tag in ASIDE:
         return SURE
     mark = FREE
     for name, value in attrs:
@@ -58,7 +71,7 @@ class _Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.mark, self.inside = ["#root"], [-1], [FREE], [False]
+        self.tag, self.parent, self.mark, self.inside, self.kind = ["#root"], [-1], [FREE], [False], [("#root", "")]
         self.open, self.events, self.count = [0], [], {}
         self.feed(html)
         self.close()
@@ -82,6 +95,7 @@ class _Page(HTMLParser):
         self.parent.append(up)
         self.inside.append(self.inside[up] or tag in ("article", "main"))
         self.mark.append(_boilerplate(tag, attrs, self.inside[up]))
+        self.kind.append((tag, dict(attrs).get("class") or ""))
         self.events.append((node, True))
         if tag in VOID:
             self.events.append((node, False))
@@ -118,14 +132,107 @@ class _Page(HTMLParser):
         self.events.append((self.open[-1], data))
 
 
-def _dropped(page: _Page) -> list[bool]:
-    """Which nodes are boilerplate or lie in some. A wrapper of most of the page may have a class like `with-sidebar`: one
-    that holds the main element or a first heading isn't dropped for its class, nor is one that is named as an article too and
-    holds more than half of the words."""
+class _Density:
+    """Characters, characters in links, tags and link tags of each node with all that it holds, its composite density and
+    its density sum; `never`: nodes that hold no shown text."""
+
+    def __init__(self, page: _Page):
+        n, tag, parent = len(page.tag), page.tag, page.parent
+        self.never, anchor = [t in NEVER for t in tag], [False] * n
+        self.chars, self.links, self.tags, self.link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        for i in range(1, n):
+            self.never[i] = self.never[i] or self.never[parent[i]]
+            anchor[i] = anchor[parent[i]] or tag[i] == "a"
+            if not self.never[i]:
+                self.tags[i], self.link_tags[i] = 1, int(tag[i] == "a")
+        for node, what in page.events:
+            if isinstance(what, str) and not self.never[node]:
+                size = len("".join(what.split()))
+                self.chars[node] += size
+                self.links[node] += size * anchor[node]
+        for i in range(n - 1, 0, -1):
+            for x in (self.chars, self.links, self.tags, self.link_tags):
+                x[parent[i]] += x[i]
+        self.body = tag.index("body") if "body" in tag else 0
+        share = self.links[self.body] / max(1, self.chars[self.body])
+        self.density, self.sums = [0.0] * n, [0.0] * n
+        for i in range(n - 1, -1, -1):
+            self.density[i] = composite(self.chars[i], self.links[i], self.tags[i], self.link_tags[i], share)
+            own = self.sums[i]
+            # markup inside a paragraph is no child of its own, and a paragraph's sum is its own density
+            self.sums[i] = 0.0 if tag[i] in INLINE else own or self.density[i]
+            if i:
+                self.sums[parent[i]] += own if tag[i] in INLINE else self.density[i]
+
+
+def composite(chars: int, links: int, tags: int, link_tags: int, share: float) -> float:
+    """The composite text density of a node; share: of the body's characters, those in links."""
+    if not chars:
+        return 0.0
+    tags, link_tags = max(1, tags), max(1, link_tags)
+    base = math.log(chars / max(1, chars - links) * links + share * chars + math.e)
+    return chars / tags * max(0.0, math.log(chars / max(1, links) * tags / link_tags)) / math.log(max(1.5, base))
+
+
+def _select(page: _Page, d: _Density, marked: list[bool]) -> int:
+    """The node that holds the article."""
+    n, tag, parent, body = len(page.tag), page.tag, page.parent, d.body
+    free = [i for i in range(body, n) if not marked[i] and not d.never[i]] or [body]
+    core = max(free, key=lambda i: (d.sums[i], d.density[i], -i))
+    # down: a core without paragraphs of its own, of whose children just one holds blocks, or just one that is as dense
+    children: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        if tag[i] not in INLINE and not d.never[i] and d.chars[i]:
+            children[parent[i]].append(i)
+    while not any(tag[i] in PARAGRAPH and 2 * d.links[i] < d.chars[i] for i in children[core]):
+        holders = [i for i in children[core] if children[i] and 2 * d.links[i] < d.chars[i] and not marked[i]]
+        dense = holders if len(holders) == 1 else [i for i in holders if d.density[i] >= d.density[core]]
+        if len(dense) != 1:
+            break
+        core = dense[0]
+    # up: the threshold of the path to the body
+    path = [core]
+    while path[-1] != body and parent[path[-1]] >= 0:
+        path.append(parent[path[-1]])
+    threshold = min(d.density[i] for i in path)
+    for i in path:
+        if tag[i] in ("article", "main"):
+            return i
+    while core != body and parent[core] > 0:
+        parts = [i for i in children[parent[core]] if page.kind[i] == page.kind[core] and d.density[i] >= threshold and not marked[i]]
+        if tag[core] in PARAGRAPH or len(parts) < 2:
+            break
+        core = parent[core]
+    return core
+
+
+def _marked(page: _Page) -> list[bool]:
+    """Nodes named as no article, with all that they hold; wrappers of an article, main or first heading element aren't."""
     n, parent, sure = len(page.tag), page.parent, [m == SURE for m in page.mark]
     for i in range(1, n):
         sure[i] = sure[i] or sure[parent[i]]
-    words, holds = [0] * n, [page.tag[i] in ("main", "h1") and not sure[i] for i in range(n)]
+    holds = [page.tag[i] in ("article", "main", "h1") and not sure[i] for i in range(n)]
+    for i in range(n - 1, 0, -1):
+        holds[parent[i]] = holds[parent[i]] or holds[i]
+    out = sure
+    for i in range(1, n):
+        out[i] = sure[i] or out[parent[i]] or (page.mark[i] != FREE and not holds[i])
+    return out
+
+
+def _dropped(page: _Page, d: _Density, root: int) -> list[bool]:
+    """Which nodes inside root are none of the article: by tag, menus of links, and, unless root is the body, by class. A
+    wrapper of most of the text may have a class like `with-sidebar`: one that holds the main element or a first heading
+    isn't dropped for its class, nor is one that is named as an article too and holds more than half of the words."""
+    n, tag, parent = len(page.tag), page.tag, page.parent
+    inside = [False] * n
+    for i in range(1, n):
+        inside[i] = parent[i] == root or inside[parent[i]]
+    named = tag[root] not in ("#root", "html", "body")
+    sure = [d.never[i] or (inside[i] and (tag[i] in ASIDE or (named and page.mark[i] == SURE))) for i in range(n)]
+    for i in range(1, n):
+        sure[i] = sure[i] or sure[parent[i]]
+    words, holds = [0] * n, [tag[i] in ("main", "h1") and not sure[i] for i in range(n)]
     for node, what in page.events:
         if isinstance(what, str) and not sure[node]:
             words[node] += len(what.split())
@@ -134,7 +241,10 @@ def _dropped(page: _Page) -> list[bool]:
         holds[parent[i]] = holds[parent[i]] or holds[i]
     out = sure
     for i in range(1, n):
-        out[i] = sure[i] or out[parent[i]] or (page.mark[i] in (PERHAPS, LIKELY) and not holds[i] and (page.mark[i] == LIKELY or 2 * words[i] <= words[0]))
+        menu = inside[i] and d.links[i] > 0.6 * d.chars[i] and d.link_tags[i] >= 3
+        header = inside[i] and tag[i] == "header" and not named and not holds[i]
+        by_class = named and inside[i] and page.mark[i] in (PERHAPS, LIKELY) and not holds[i] and (page.mark[i] == LIKELY or 2 * words[i] <= words[root])
+        out[i] = sure[i] or out[parent[i]] or menu or header or by_class
     return out
 
 
@@ -144,51 +254,11 @@ def main_text(html: str | None) -> str:
         return ""
     page = _Page(html)
     n, tag, parent = len(page.tag), page.tag, page.parent
-    dropped = _dropped(page)
-    chars, links, tags, link_tags, anchor = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
-    for i in range(1, n):
-        anchor[i] = anchor[parent[i]] or tag[i] == "a"
-        if not dropped[i]:
-            tags[i], link_tags[i] = 1, int(tag[i] == "a")
-    for node, what in page.events:
-        if isinstance(what, str) and not dropped[node]:
-            size = len("".join(what.split()))
-            chars[node] += size
-            links[node] += size * anchor[node]
-    for i in range(n - 1, 0, -1):
-        for x in (chars, links, tags, link_tags):
-            x[parent[i]] += x[i]
-    body = tag.index("body") if "body" in tag else 0
-    share, density, sums = links[body] / max(1, chars[body]), [0.0] * n, [0.0] * n
-    for i in range(n - 1, -1, -1):
-        c, lc, t, lt = chars[i], links[i], max(1, tags[i]), max(1, link_tags[i])
-        if c:
-            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-            density[i] = c / t * max(0.0, math.log(c / max(1, lc) * t / lt)) / math.log(max(1.5, base))
-        # markup inside a paragraph is no child of its own, and a paragraph's sum is its own density
-        sums[i] = sums[i] if tag[i] in INLINE else max(sums[i], density[i] * (sums[i] == 0))
-        if i:
-            sums[parent[i]] += sums[i] if tag[i] in INLINE else density[i]
-        if tag[i] in INLINE:
-            sums[i] = 0.0
-    core = max(range(body, n), key=lambda i: (sums[i], density[i], -i))
-    threshold, i = density[core], core
-    while i != body and parent[i] >= 0:
-        i = parent[i]
-        threshold = min(threshold, density[i])
-    # the node with the largest sum below each node, from the last node to the first
-    best = list(range(n))
-    for i in range(n - 1, 0, -1):
-        if (sums[best[i]], -best[i]) > (sums[best[parent[i]]], -best[parent[i]]):
-            best[parent[i]] = best[i]
-    reach, content = [False] * n, [False] * n
-    for i in range(body, n):
-        reach[i] = (i == body or reach[parent[i]]) and density[i] >= threshold and not dropped[i]
-        if reach[i]:
-            content[best[i]] = True
+    d = _Density(page)
+    root = _select(page, d, _marked(page))
+    dropped = _dropped(page, d, root)
+    content = [i == root for i in range(n)]
     for i in range(1, n):
-        menu = links[i] > 0.6 * chars[i] and link_tags[i] >= 3
-        dropped[i] = dropped[i] or dropped[parent[i]] or menu
         content[i] = content[i] or content[parent[i]]
     blocks, parts = [], []
     for node, what in page.events:

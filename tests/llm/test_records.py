@@ -152,6 +152,7 @@ def test_top_k_of_few(spark):
     assert hamming.top_k(df.where("vec_id = 1"), df.where("vec_id = 1"), 10).collect() == []
 
 
+SF = "/root/testdata/sf0.01"
 ARTICLE = "<article><h1>Title &amp; more</h1><p><b>First&nbsp;one\n is here, long enough to count.<br><p>Second paragraph of the text with an <a href=x>inner link</a> &eacute;.</p></article>"
 
 
@@ -167,6 +168,118 @@ def test_main_text(page):
     assert extract.main_text(page) == "Title & more\n\nFirst one is here, long enough to count.\n\nSecond paragraph of the text with an inner link é."
 
 
+def given_pages():
+    import duckdb
+
+    return [h for (h,) in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet' ORDER BY page_id").fetchall()]
+
+
+def article_of(html):
+    """The text of the only article element of the given pages, by their markup."""
+    import html as entities
+    import re
+
+    inner = re.search(r"<article>(.*)</article>", html, re.S).group(1)
+    blocks = re.split(r"</?(?:p|h1)>", inner)
+    return "\n\n".join(x for x in (" ".join(entities.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in blocks) if x)
+
+
+def test_main_text_of_given_pages():
+    for page in given_pages():
+        assert extract.main_text(page) == article_of(page)
+
+
+def test_density_selects_and_not_the_lists(monkeypatch):
+    """Without the selection every given page changes; without the words of classes none does."""
+    given = given_pages()
+    expected = [extract.main_text(p) for p in given]
+    with monkeypatch.context() as m:
+        m.setattr(extract, "BOILERPLATE", frozenset())
+        m.setattr(extract, "_STARTS", ("\0",) * 6)
+        assert [extract.main_text(p) for p in given] == expected
+    monkeypatch.setattr(extract, "_select", lambda page, d, marked: d.body)
+    assert not any(extract.main_text(p) == x for p, x in zip(given, expected, strict=True))
+
+
+def test_densities():
+    """Densities and their sums against a recursive version over a tree of its own."""
+    import math
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self, html):
+            super().__init__()
+            self.root = self.at = {"tag": "#root", "up": None, "kids": []}
+            self.feed(html)
+
+        def handle_starttag(self, tag, attrs):
+            self.at = {"tag": tag, "up": self.at, "kids": []}
+            self.at["up"]["kids"].append(self.at)
+
+        def handle_endtag(self, tag):
+            self.at = self.at["up"]
+
+        def handle_data(self, data):
+            self.at["kids"].append(data)
+
+    page = "<body><nav><ul><li><a>Home page</a></li><li><a>News</a></li></ul></nav><div><p>Some <b>bold words</b> and a <a>link here</a>.</p><p>More words of text</p></div><footer>End</footer></body>"
+    tree = Tree(page).root["kids"][0]
+
+    def measure(x, linked=False):
+        linked = linked or x["tag"] == "a"
+        c = l = 0
+        t, lt = 1, int(x["tag"] == "a")
+        for k in x["kids"]:
+            if isinstance(k, str):
+                size = len("".join(k.split()))
+                own = (size, size * linked, 0, 0)
+            else:
+                own = measure(k, linked)
+            c, l, t, lt = c + own[0], l + own[1], t + own[2], lt + own[3]
+        x["m"] = (c, l, t, lt)
+        return x["m"]
+
+    measure(tree)
+    whole = tree["m"][1] / tree["m"][0]
+
+    def density(x):
+        c, l, t, lt = x["m"]
+        if c == 0:
+            return 0.0
+        base = math.log(c / max(1, c - l) * l + whole * c + math.e)
+        return c / t * max(0.0, math.log(c / max(1, l) * t / max(1, lt)) / math.log(max(1.5, base)))
+
+    got, found = extract._Density(extract._Page(page)), []
+
+    def walk(x):
+        kids = [k for k in x["kids"] if not isinstance(k, str)]
+        block = [k for k in kids if k["tag"] not in ("a", "b")]
+        found.append((density(x), None if x["tag"] in ("a", "b") else sum(map(density, block)) if block else density(x)))
+        for k in kids:
+            walk(k)
+
+    walk(tree)
+    assert np.allclose([d for d, _ in found], got.density[1:])
+    assert all(s is None or abs(s - t) < 1e-9 for (_, s), t in zip(found, got.sums[1:], strict=True))
+
+
+LONG = [" ".join(f"word{i}x{k}" for k in range(25)) + "." for i in range(6)]
+
+
+@pytest.mark.parametrize(("page", "blocks"), [
+    # parts of one kind belong together; a box of another kind doesn't
+    (f"<body><div class=menu><a href=1>One</a><a href=2>Two</a><a href=3>Three</a></div><div class=t><section><p>{LONG[0]}</p><p>{LONG[1]}</p></section><section><p>{LONG[2]}</p><p>{LONG[3]}</p></section></div><div class=x>Side words</div></body>", LONG[:4]),
+    # no container: paragraphs stand in the body
+    (f"<body><nav><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></nav><h1>Head line</h1><p>{LONG[0]}</p><p>{LONG[1]}</p><footer>(c) me</footer></body>", ["Head line", *LONG[:2]]),
+    # reader comments in articles of their own, more of them than text
+    (f"<body><main><article><h1>Head line</h1><p>{LONG[0]}</p></article><section class=comments>{''.join(f'<article class=comment><p>{x}</p><p>{x} too</p></article>' for x in LONG[1:])}</section></main></body>", None),
+    # boxes inside the article's element
+    (f"<body><div id=p><div class=content><h1>Head line</h1><p>{LONG[0]}</p><div class=ad>Buy this now</div><p>{LONG[1]}</p><aside>See also</aside><div class=share><a href=1>A</a><a href=2>B</a><a href=3>C</a></div><form><p>Your mail</p></form></div><div class=right><p>Other things</p></div></div></body>", ["Head line", *LONG[:2]]),
+])
+def test_main_text_of_other_layouts(page, blocks):
+    assert extract.main_text(page).split("\n\n") == (blocks or ["Head line", LONG[0]])
+
+
 def test_main_text_odd(spark):
     assert extract.main_text(None) == extract.main_text("") == extract.main_text("<script>x</script>") == ""
     assert extract.main_text("only words") == "only words"
@@ -211,9 +324,6 @@ def test_marginals():
     assert np.allclose(expected, pairs)
 
 
-SF = "/root/testdata/sf0.01"
-
-
 def test_quality_on_held_out_documents(spark):
     got = registry.op4_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     held = got.where("held_out").collect()
