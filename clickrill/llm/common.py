@@ -36,6 +36,22 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+#: Hot keys that spread_join sends to every task, at most.
+HOT_KEYS = 20_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, most: int, total: int) -> DataFrame:
+    """rows joined to table (stored; a row for each key, n: how many of `rows` have it, of `total` in all), without any
+    key's rows in one task if they are more than `most`, or more than one in HOT_KEYS of all. Keys with more are fewer than
+    HOT_KEYS, whatever the input, and meet their rows in a broadcast."""
+    most = max(most, -(-total // HOT_KEYS))
+    hot = table.where(F.col(n) > most)
+    if hot.isEmpty():
+        return rows.join(table, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(n) <= most), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

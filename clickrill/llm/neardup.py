@@ -1,13 +1,15 @@
 """Near-duplicate detection by bottom-k sketches from one hash function.
 
-1. A text's set is its distinct word shingles, hashed once to 64 bits. Its sketch is the SKETCH smallest; texts with equal
-   sets are one class from here on.
+1. A text's set is its distinct word shingles, hashed once to 64 bits under a key drawn for each call, so nobody can write
+   texts whose shingles share hashes. Its sketch is the SKETCH smallest; texts with equal sets are one class from here on.
 2. Inverted lists of the LISTED smallest values bring classes together. Of the LISTED smallest values of a union, each lies
    in the intersection with chance J, so a pair of similarity t shares no listed value with chance (1 - t) ** LISTED
-   (2.6e-7 at 0.85, falling fast above). Long lists are dealt into cells by set size, as sets whose sizes differ by more
-   than the threshold can't be linked, and by hash; cells meet in pairs, so no task gets an unbounded list and no list is capped.
-3. In each cell pair the union sketch estimates the similarity; pairs far below the threshold go.
-4. Full sets of the classes that are left confirm links exactly. Each cell pair reports only a spanning forest of its links.
+   (2.6e-7 at 0.85, 2.6e-6 at 0.8, falling fast above). Long lists are dealt into cells by set size, as sets whose sizes
+   differ by more than the threshold can't be linked, and by hash; a cell has a bounded number of sets and of values;
+   cells meet in pairs, so no task gets an unbounded list and no list is capped.
+3. In each cell pair the union sketch estimates the similarity; pairs far below the threshold go. A pair at the threshold
+   goes with chance MISS at most, by the binomial distribution of shared values.
+4. Full sets of the classes that are left confirm links. Each cell pair reports only a spanning forest of its links.
 5. Components come from alternating large-star and small-star steps over the forest edges.
 """
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +25,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread_join, stored
 from .tokens import SPACED_LOWER, Words, chunks, mix
 
 SKETCH = 32
 LISTED = 8
+#: Classes in a cell, and values of their sets, at most (but one set is never cut).
 CELL = 512
-#: Standard errors of the sketch estimate below the threshold at which a pair goes (chance of a miss about 3e-7).
-MARGIN = 5.0
+CELL_VALUES = 4 << 20
+#: Chance that the sketches let a pair at the threshold go.
+MISS = 1e-7
+#: Rows of one node or list in one task, from which on they are spread.
+HUB = 1_000_000
+
+
+def least_shared(percent: int) -> int:
+    """Of the SKETCH smallest values of a union, fewer are shared by a pair at the threshold with chance MISS at most."""
+    t, below = percent / 100, 0.0
+    for c in range(SKETCH):
+        below += math.comb(SKETCH, c) * t**c * (1 - t) ** (SKETCH - c)
+        if below > MISS:
+            return max(1, c)
+    return SKETCH
 
 
 def _sets(words: Words, i: int, length: int, shingles: np.ndarray) -> np.ndarray:
@@ -45,11 +62,11 @@ def _sets(words: Words, i: int, length: int, shingles: np.ndarray) -> np.ndarray
     return mix(out + np.uint64(b - a))
 
 
-def _sketcher(length: int):
+def _sketcher(length: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, sig, sketch, low = [], [], [], []
-            for i, j, words in chunks(b.column(1), SPACED_LOWER):
+            for i, j, words in chunks(b.column(1), SPACED_LOWER, key):
                 shingles = words.windows(length)
                 for t in range(j - i):
                     s = _sets(words, t, length, shingles)
@@ -98,7 +115,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
 
 
 def _flagger(num: int):
-    floor = num / 100 - MARGIN * math.sqrt(num / 100 * (1 - num / 100) / SKETCH)
+    floor = least_shared(num)
     top = np.uint64(2**64 - 1)
 
     def matrix(sketches: list[bytes]) -> np.ndarray:
@@ -134,7 +151,8 @@ def _flagger(num: int):
             ok = near(n, a, b)
             a, b = a[ok], b[ok]
             est, least = estimate(m[a], m[b])
-            ok = (est >= floor) & (least == v[a])  # a pair is looked at where its smallest common value is listed
+            whole = (m[a, -1] != top) & (m[b, -1] != top)  # smaller sets are all there, and left to the full comparison
+            ok = np.where(whole, est * SKETCH >= floor - 0.5, est > 0) & (least == v[a])  # a pair is looked at where its smallest common value is listed
             hit[a[ok]] = hit[b[ok]] = True
         return hit
 
@@ -145,8 +163,8 @@ def _flagger(num: int):
     def large(d: dict[str, list]) -> Iterator[pa.RecordBatch]:
         m, n, v = matrix(d["sketch"]), np.array(d["n"]), np.array(d["v"], np.int64).view(np.uint64)
         shared = _shared([x[x != top] for x in m])
-        least = np.minimum((m != top).sum(1)[:, None], (m != top).sum(1)[None, :])
-        p, q = np.nonzero(np.triu(shared >= np.maximum(1, floor * least * 0.999), 1))
+        whole = m[:, -1] != top
+        p, q = np.nonzero(np.triu(shared >= np.where(whole[:, None] & whole[None, :], floor, 1), 1))
         yield result(d["g"], d["sig"], flags(m, n, v, p, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,12 +202,12 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _setter(length: int):
+def _setter(length: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(text, sig, gs) -> a row (g, sig, set) for each g."""
         for b in batches:
             gs, sigs = b.column(2), b.column(1)
-            for i, j, words in chunks(b.column(0), SPACED_LOWER):
+            for i, j, words in chunks(b.column(0), SPACED_LOWER, key):
                 shingles = words.windows(length)
                 g, sig, sets, held = [], [], [], 0
                 for t in range(j - i):
@@ -249,20 +267,27 @@ def _confirmer(num: int):
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): root is the smallest node of the component; only nodes that have an edge. Large-star and small-star
-    steps alternate until the edges stay as they are. Minima are aggregated before joining, so a hub is no single task."""
+    steps alternate until the edges stay as they are. Minima are aggregated before the shuffle, and the edges of a node that
+    has very many meet its minimum in a broadcast of such nodes."""
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
     before = None
+
+    def met(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+        if n <= HUB:  # so few edges are a task's work in any case
+            return rows.join(least, "u")
+        return spread_join(rows, stored(least, "least"), "u", "n", HUB, n)
+
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        before = mark
+        before, n = mark, mark[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = met(both.where("v > u"), least, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = stored(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = met(large, least, n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
 
 
@@ -274,17 +299,20 @@ def link(df: DataFrame, length: int = 5, percent: int = 80, id_col: str = "doc_i
     kept: id = component_id. Rows with the same id and text get equal results (both kept, if it is the smallest); a null
     id counts as no id, and is kept if its component has none. Empty table: no rows. Other columns are left out.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows, secret = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), secrets.randbits(64)
     schema = "id bigint, n bigint, sig binary, sketch binary, low array<bigint>"
-    sketched = stored(rows.mapInArrow(_sketcher(length), schema), "sketches")
+    sketched = stored(rows.mapInArrow(_sketcher(length, secret), schema), "sketches")
     best = F.min(F.struct("id", "n", "sketch", "low"))
     classes = sketched.where("n > 0 AND id IS NOT NULL").groupBy("sig").agg(best.alias("x")).select("sig", F.col("x.id").alias("rep"), "x.n", "x.sketch", "x.low")
     classes = stored(classes, "classes")
     bucket = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100) + 1e-9).cast("int")
     listed = classes.select("sig", "n", bucket.alias("b"), F.explode("low").alias("v"))
-    cells = listed.groupBy("v", "b").agg(F.count("*").alias("c"))
-    lists = cells.groupBy("v").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("b", F.ceil(F.col("c") / CELL).cast("int")))).alias("salts")).where("total > 1")
-    met = listed.join(lists, "v")
+    # classes of a bucket in a cell: fewer, where their sets are large
+    fit = F.least(F.lit(CELL), F.greatest(F.lit(1), F.floor(F.lit(float(CELL_VALUES)) / F.pow(F.lit(100 / percent), F.col("b") + 1)))).cast("int")
+    cells = listed.groupBy("v", "b").agg(F.count("*").alias("c")).withColumn("fit", fit)
+    lists = cells.groupBy("v").agg(F.sum("c").alias("total"), F.sum(F.col("c") / F.col("fit")).alias("full"), F.map_from_entries(F.collect_list(F.struct("b", F.ceil(F.col("c") / F.col("fit")).cast("int")))).alias("salts")).where("total > 1")
+    entries = classes.agg(F.sum(F.size("low").cast("bigint"))).first()[0] or 0
+    met = spread_join(listed, stored(lists, "lists"), "v", "total", CELL, entries)
     salts = lambda d: F.coalesce(F.try_element_at("salts", F.col("b") + d), F.lit(0))
     own = F.pmod(F.xxhash64("sig"), salts(0)).cast("int")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -294,11 +322,11 @@ def link(df: DataFrame, length: int = 5, percent: int = 80, id_col: str = "doc_i
         F.transform(upto(salts(1)), lambda s: key("b", own, F.col("b") + 1, s)),
         F.transform(upto(salts(-1)), lambda s: key(F.col("b") - 1, s, F.col("b"), own)),
     )
-    dealt = met.select("sig", "v", F.explode(F.when(F.col("total") <= CELL, F.array(F.xxhash64("v"))).otherwise(pairs)).alias("g"))
+    dealt = met.select("sig", "v", F.explode(F.when(F.col("full") <= 1, F.array(F.xxhash64("v"))).otherwise(pairs)).alias("g"))
     dealt = dealt.join(classes.select("sig", "n", "sketch"), "sig").repartition("g").sortWithinPartitions("g")
     flagged = stored(dealt.select("g", "v", "sig", "n", "sketch").mapInArrow(_flagger(percent), "g bigint, sig binary"), "flagged")
     wanted = flagged.groupBy("sig").agg(F.collect_set("g").alias("gs")).join(classes.select("sig", F.col("rep").alias("id")), "sig")
-    sets = rows.join(wanted, "id").select("text", "sig", "gs").mapInArrow(_setter(length), "g bigint, sig binary, set binary")
+    sets = rows.join(wanted, "id").select("text", "sig", "gs").mapInArrow(_setter(length, secret), "g bigint, sig binary, set binary")
     edges = sets.repartition("g").sortWithinPartitions("g").mapInArrow(_confirmer(percent), "a binary, b binary")
     found = components(edges)
     of_class = classes.select("sig", "rep").join(found.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))

@@ -13,7 +13,7 @@ import brute
 from conftest import SCHEMA, rows, texts
 
 from clickrill.llm import decontaminate, licenses, neardup, substrings, tokens
-from clickrill.llm.common import stored
+from clickrill.llm.common import spread_join, stored
 
 
 def pairs(df):
@@ -266,6 +266,39 @@ def test_near_duplicates_in_cells(documents, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.link(documents, 3, 85).collect()} == expected
 
 
+def test_near_duplicates_in_cells_of_few_values(documents, monkeypatch):
+    """Large sets share a cell with few others, or none."""
+    monkeypatch.setattr(neardup, "CELL_VALUES", 300)
+    expected = brute.near(pairs(documents), 3, 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.link(documents, 3, 85).collect()} == expected
+
+
+def test_least_shared():
+    """The exact chance that a pair at the threshold is let go by its sketches."""
+    from math import comb
+
+    for percent in (80, 85):
+        c, t = neardup.least_shared(percent), percent / 100
+        chance = lambda c: sum(comb(32, k) * t**k * (1 - t) ** (32 - k) for k in range(c))  # noqa: B023, E731
+        assert chance(c) <= neardup.MISS < chance(c + 1)
+
+
+def test_spread_join(spark):
+    """Hot keys go by broadcast, the others by shuffle, and the result is that of a join."""
+    rows_ = spark.range(1000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    table = stored(rows_.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("m")).where("k % 2 = 0"), "t")
+    joined = spread_join(rows_, table, "k", "n", 5, 1000)
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, rows_.join(table, "k").collect()))
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HUB", 5)
+    edges = [("hub", f"s{i:03}") for i in range(200)] + [(f"s{i:03}", f"x{i:03}") for i in range(200)] + [("a", "z")]
+    got = {r["node"]: r["root"] for r in neardup.components(stored(spark.createDataFrame(edges, "a string, b string").repartition(3), "e")).collect()}
+    assert len(got) == 403 and {v for k, v in got.items() if k not in ("a", "z")} == {"hub"} and got["z"] == "a"
+
+
 def test_near_duplicates_odd(odd_documents, no_documents):
     got = neardup.link(odd_documents, 3, 85).collect()
     assert len(got) == odd_documents.count()
