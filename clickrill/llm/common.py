@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,9 +68,30 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def rank_in(sorted_keys: list, key: Column) -> Column:
-    """How many of the sorted literals are <= key: a binary search inside one expression."""
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def rank_in(sorted_keys: list, key: Column, kind: str = "bigint") -> Column:
+    """How many of the sorted literals are <= key: a binary search inside one expression. kind: the keys' type; structs are
+    given as tuples of numbers. A null key: 0."""
     bits = max(1, len(sorted_keys).bit_length())
-    padded = F.array(*[F.lit(x) for x in sorted_keys], *[F.lit(None).cast("bigint")] * (2**bits - 1 - len(sorted_keys)))
+    plain = [list(x) if isinstance(x, tuple) else x for x in sorted_keys]
+    if plain and isinstance(plain[0], list):
+        names = [f.split(":")[0] for f in kind.removeprefix("struct<").removesuffix(">").split(",")]
+        plain = [dict(zip(names, x, strict=True)) for x in plain]
+    # one literal of text, not one for each key
+    padded = F.from_json(F.lit(json.dumps(plain + [None] * (2**bits - 1 - len(plain)))), f"array<{kind}>")
     steps = F.array(*[F.lit(2**b) for b in reversed(range(bits))])
     return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(padded, at + step - 1) <= key, step).otherwise(0))
+
+
+def renamed(df: DataFrame, *keep: str) -> DataFrame:
+    """df with the columns `keep` under these names (the exact name first, else in any case) and all others under names that
+    nobody uses, in order; toDF with the old names brings them back."""
+    at = {}
+    for k in keep:
+        same = [i for i, c in enumerate(df.columns) if c == k] or [i for i, c in enumerate(df.columns) if c.lower() == k.lower()]
+        at[same[0]] = k
+    return df.toDF(*[at.get(i, f"_column{i}_") for i in range(len(df.columns))])

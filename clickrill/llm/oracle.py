@@ -58,4 +58,20 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance,
 SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op3_warc": OP3, "op6_exact_topk": OP6, "op7_decontaminate": OP7, "op9_near_duplicates": OP9}
+#: CRC-32 of each text t of s, a byte at a time over the table of remainders.
+CRC = r"""
+remainders AS (SELECT list(r ORDER BY i) AS r FROM (SELECT i, list_reduce(range(8), lambda x, j: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, i) AS r FROM range(256) u(i))),
+crcs AS (SELECT t, xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda b: CAST('0x' || b AS BIGINT)), lambda x, b: xor(x >> 8, r[xor(x, b) % 256 + 1]), 4294967295)) AS crc FROM (SELECT DISTINCT t FROM s), remainders)
+"""
+
+OP10 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS k FROM documents),
+c AS (SELECT *, CAST(sum(size) OVER (ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(size) OVER (PARTITION BY k) AS BIGINT) AS own, CAST(sum(size) OVER () AS BIGINT) AS total FROM d),
+m AS (SELECT *, CASE WHEN 800 * own > total THEN 2 * upto - size ELSE 2 * max(upto) OVER (PARTITION BY k) - own END AS twice FROM c),
+s AS (SELECT *, CAST(least(7, 8 * twice // (2 * total)) AS INTEGER) AS shard FROM m),
+""" + CRC + r"""
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY k, doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s JOIN crcs USING (t)
+"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op3_warc": OP3, "op6_exact_topk": OP6, "op7_decontaminate": OP7, "op9_near_duplicates": OP9, "op10_sharding": OP10}
