@@ -4,12 +4,13 @@ Each line is good or bad; its features are shares of character classes, lengths,
 endings, its own and those of the lines before and after it. Training documents give their label to all their lines.
 Forward-backward marginals of the lines, weighted by length, average to the document's score.
 
-Only the fit is bounded: TRAIN_DOCS labelled documents, TRAIN_LINES lines of each, drawn by a hash of the id. Scoring
-reads every line of every text.
+Only the fit is bounded: TRAIN_DOCS labelled documents, drawn by a hash of the id, and of each a run of TRAIN_LINES lines,
+drawn by a hash of the text from all the runs that it consists of. Scoring reads every line of every text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import quoted, unused
 from .tokens import SPACED_LOWER, Words, raw_texts
 
 TRAIN_DOCS = 4000
@@ -199,11 +202,14 @@ def _chunked(texts: pa.Array) -> Iterator[tuple[int, int, Lines]]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) -> (label, features of the first TRAIN_LINES lines)."""
+    """(label, text) -> (label, features of one run of TRAIN_LINES lines: any of the text's, the last may be shorter)."""
     for b in batches:
         out = []
-        for _, _, x in _chunked(b.column(1)):
-            out += [x.features[a : min(e, a + TRAIN_LINES)].astype(np.float32).tobytes() for a, e in zip(x.first[:-1], x.first[1:], strict=True)]
+        for i, _, x in _chunked(b.column(1)):
+            for t, (a, e) in enumerate(zip(x.first[:-1], x.first[1:], strict=True)):
+                runs = -(-int(e - a) // TRAIN_LINES)
+                at = a + TRAIN_LINES * (zlib.crc32((b.column(1)[i + t].as_py() or "").encode()) % runs if runs > 1 else 0)
+                out.append(x.features[at : min(e, at + TRAIN_LINES)].astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["label", "features"])
 
 
@@ -235,7 +241,9 @@ def _scorer(model: Model):
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs, and score: 0 to 1, higher is likelier good. A null text counts as empty, which is one
-    empty line. Repeated rows get equal scores. Empty table: no rows. A column named score in keep isn't allowed."""
-    rows = docs.select(*[c for c in keep if c != text_col], F.col(text_col).alias("_scored"))
-    schema = rows.withColumn("score", F.lit(0.0)).schema
-    return rows.mapInArrow(_scorer(model), schema).select(*[F.col("_scored").alias(c) if c == text_col else c for c in keep], "score")
+    empty line. Repeated rows get equal scores. Empty table: no rows. A column of docs named score isn't kept."""
+    keep = [c for c in keep if c.lower() != "score"]
+    (text,) = unused(docs, "_scored")
+    rows = docs.select(*quoted([c for c in keep if c != text_col]), F.col(text_col).alias(text))
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
+    return rows.mapInArrow(_scorer(model), schema).select(*[F.col(text).alias(c) if c == text_col else quoted([c])[0] for c in keep], "score")

@@ -6,18 +6,20 @@ and the slot of each record. run() hands each stage's Parquet output to the next
 A document is an id and a text, and stages decide on documents: rows with one id and different texts are several, and so
 are rows without an id; a null text is one of its own, other than an empty one. They are told apart by a 64-bit hash of
 both. Rows that repeat a document are one document, of which the near-duplicates stage keeps one row; the other stages
-decide alike on all of them.
+decide alike on all of them. Other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickrill.llm import decontaminate, mixing, neardup, quality, sharding
-from clickrill.llm.common import read, shared_dir, stored, unused
+from clickrill.llm.common import read, renamed, shared_dir, stored, unused
 
 #: Shares of expected tokens among what is left after the filters. Toxic documents are thinned out to theirs.
 WEIGHTS = {"clean": 0.95, "toxic": 0.05}
@@ -26,23 +28,41 @@ ROUNDS = 6
 SHARDS = 8
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _whatever_names(stage: Stage) -> Stage:
+    """The stage on documents whose other columns have names that clash with none, and the names that they had. Columns that
+    a stage adds replace those of the same name."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = renamed(docs, "doc_id", "text")
+        out = stage(spark, plain, sf_dir)
+        added = [c for c in out.columns if c not in plain.columns]
+        old = dict(zip(plain.columns, docs.columns, strict=True))
+        kept = [c for c in out.columns if c in added or old[c].lower() not in [a.lower() for a in added]]
+        return out.select(*kept).toDF(*[old.get(c, c) for c in kept])
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a hash that tells documents apart, and that column's name."""
     (key,) = unused(docs, "_document")
     return docs.withColumn(key, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")), key
 
 
+@_whatever_names
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose lines the classifier finds good on the whole. Null texts are scored as empty ones. A row is judged by
     its own text, whatever its id; rows that repeat a document stay or go together."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = quality.train(docs, read(spark, sf_dir, "labels").where(~held_out))
-    columns = docs.columns
-    renamed = docs.withColumnRenamed("score", "_score") if "score" in columns else docs
-    kept = quality.score(renamed, model, renamed.columns).where("score >= 0.5").drop("score")
-    return kept.toDF(*columns)
+    return quality.score(docs, model, docs.columns).where("score >= 0.5").drop("score")
 
 
+@_whatever_names
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8: the one with the smallest id, null
     last (of equal ids, the smallest hash). Documents without words link with nothing and stay. One row of each document."""
@@ -62,6 +82,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return left.select(*docs.columns)
 
 
+@_whatever_names
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in a benchmark window. Each is judged by its own text,
     also without an id; rows that repeat a document stay or go together."""
@@ -71,6 +92,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return keyed.join(bad, key, "left_anti").select(*docs.columns)
 
 
+@_whatever_names
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents thinned out to WEIGHTS: each stays with the chance of its fitted rate, by a hash. A document isn't
     repeated, so rates over 1 count as 1, and the shares are fitted to what is left then. The expected clean tokens stay
@@ -107,6 +129,7 @@ def _rates(members: DataFrame) -> Column:
     return best
 
 
+@_whatever_names
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns, and the record's size, shard and slot in it."""
     return sharding.shard(docs, SHARDS)

@@ -59,6 +59,28 @@ def test_sharding_with_subdivided_ranges(documents, monkeypatch):
     check_law(got, 8)
 
 
+def test_equal_texts_share_a_shard(spark):
+    """Groups up to a hundredth of a shard stay whole, also where ranges are subdivided; a larger one is cut."""
+    r = np.random.default_rng(4)
+    texts_ = [f"text {i} " * int(k) for i, k in enumerate(r.integers(1, 30, 3000))]
+    data = [(i, texts_[i // 3] if i < 6000 else "hot " * 20) for i in range(8000)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(6)
+    got = shards_of(df)
+    share = sum(x["size"] for x in got) / 8
+    assert all(abs(sum(x["size"] for x in got if x["shard"] == k) - share) <= share / 100 for k in range(8))
+    where = {}
+    for x in got:
+        where.setdefault(x["text"], set()).add(x["shard"])
+    assert len(where.pop("hot " * 20)) > 1 and all(len(v) == 1 for v in where.values())
+
+
+def test_sharding_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, "a", 5, 6, {"x": 1}), (2, "b", 7, 8, None)], "doc_id bigint, text string, `a.b` int, _key int, m map<string,int>")
+    out = sharding.shard(df, 2)
+    assert out.columns == [*df.columns, "size", "shard", "slot"]
+    assert sorted(tuple(r)[:4] for r in out.collect()) == [(1, "a", 5, 6), (2, "b", 7, 8)]
+
+
 def test_sharding_of_nothing(no_documents, spark):
     assert shards_of(no_documents) == []
     assert [(r["shard"], r["slot"]) for r in shards_of(spark.createDataFrame(rows([(1, None)]), SCHEMA))] in ([(s, 0)] for s in range(8))
@@ -333,10 +355,49 @@ def test_quality_on_held_out_documents(spark):
     assert np.mean([[g > b for b in bad] for g in good]) > 0.97
 
 
+def test_quality_trains_on_lines_of_whole_texts(monkeypatch):
+    """The lines that a long text trains on come from anywhere in it."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality, "TRAIN_LINES", 4)
+    long = [f"{i} " + "".join(f"line {k}\n" for k in range(40)) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 41), pa.array([*long, None])], names=["label", "text"])
+    out = [np.frombuffer(x, np.float32).reshape(-1, quality.N_FEATURES) for b in quality._features(iter([batch])) for x in b.column(1).to_pylist()]
+    assert {len(x) for x in out[:-1]} == {4} and len(out[-1]) == 1
+    assert 0 < sum(x[0, -2] == 1 for x in out[:-1]) < 15  # few are a text's first lines
+
+
+def brute_quality(model, text):
+    """The score of a text as a sum over all labellings of its lines."""
+    from itertools import product
+
+    raw = (text or "").encode()
+    x = quality.lines_of(np.frombuffer(raw, np.uint8), np.r_[0, len(raw)])
+    u, n = model.odds(x.features), len(x.weight)
+    total = good = 0.0
+    for y in product((0, 1), repeat=n):
+        w = np.exp(sum(u[i] * y[i] for i in range(n)) + sum(model.moves[a, b] for a, b in zip(y, y[1:], strict=False)))
+        total += w
+        good += w * sum(x.weight[i] * y[i] for i in range(n)) / x.weight.sum()
+    return good / total
+
+
+def test_quality_query_equals_brute_force(spark):
+    """Scores of the query's documents with few lines against a sum over all labellings."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels.where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 != 1"))
+    found = {r["doc_id"]: r["score"] for r in registry.op4_quality(spark, SF).collect()}
+    few = [r for r in docs.select("doc_id", "text").collect() if (r["text"] or "").count("\n") < 9]
+    assert len(few) > 200 and set(found) == {r["doc_id"] for r in docs.collect()}
+    for r in few[:300]:
+        assert abs(found[r["doc_id"]] - brute_quality(model, r["text"])) < 1e-6
+
+
 def test_quality_odd(spark, odd_documents, no_documents):
     model = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
     got = quality.score(odd_documents.drop("score"), model, ["doc_id", "lang"]).collect()
     assert len(got) == odd_documents.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert quality.score(odd_documents, model, ["doc_id", "score"]).columns == ["doc_id", "score"]
     assert quality.score(no_documents, model, ["doc_id"]).collect() == []
     nothing = quality.train(no_documents, spark.createDataFrame([], "doc_id bigint, quality int"))
     assert {r["score"] for r in quality.score(odd_documents, nothing, ["doc_id"]).collect()} == {0.5}
@@ -429,6 +490,23 @@ def test_pipeline_mixing_meets_the_weights(spark, tmp_path, percent):
     assert abs(got.get(True, 0) / sum(got.values()) - corpus_pipeline.WEIGHTS["toxic"]) < 0.008
 
 
+def test_pipeline_stages_pass_any_names_on(spark):
+    """Columns named like what operators use inside, in other cases, with dots: all come out as they were."""
+    import corpus_pipeline
+
+    names = ["Score", "_scored", "score", "_score", "a.b", "n_tokens", "p_clean", "_id", "_document", "TEXT", "id", "c", "sig", "k", "Shard"]
+    docs = [(i, t) for i, t in texts(6, 24) if t is None or len(t) < 3000]
+    df = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in docs], ["doc_id", "text", *[f"x{k}" for k in range(len(names))]]).toDF("doc_id", "text", *names)
+    had = {r[0]: tuple(r) for r in df.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF)
+        kept = [c for c in df.columns if name != "sharding" or c != "Shard"]
+        assert out.columns == (kept if name != "sharding" else [*kept, "size", "shard", "slot"])
+        got = [tuple(r)[: len(kept)] for r in out.collect()]
+        assert all(r == tuple(x for x, c in zip(had[r[0]], df.columns, strict=True) if c in kept) for r in got)
+        assert len(got) >= (len(docs) if name in ("sharding", "decontamination") else 1 if name == "quality" else 8), name
+
+
 def test_pipeline_stages_judge_documents_not_ids(spark, odd_documents):
     import corpus_pipeline
 
