@@ -1,7 +1,7 @@
 """License and notice scans by ordered signature rules, in built-in functions only.
 
-A text is brought to lower-case words joined by single spaces. A handful of root strings gate the documents, each rule's
-keyword gates the rule, and only then its regular expression runs. Detections are word intervals; one contained in another
+A text is brought to lower-case words joined by single spaces. A handful of root strings gate the documents, the most
+telling stretch of plain text that all matches of a rule hold gates the rule, and only then its regular expression runs. Detections are word intervals; one contained in another
 of the same or a higher priority is suppressed, by one pass over the intervals ordered by start.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import quoted, unused
 
 #: (label, keyword, phrase): every place counts, suppressed or not.
 BASE = [("cc-by", "cc by", "cc by"), ("gpl", "general public license", "general public license"), ("reserved", "all rights reserved", "all rights reserved")]
@@ -249,6 +249,40 @@ def _parsed() -> list[tuple[str, int, str, str]]:
 
 #: (label, priority, keyword, regular expression); the base phrases come first.
 RULES = [(label, 3, keyword, phrase) for label, keyword, phrase in BASE] + _creative_commons() + _gnu() + _parsed()
+#: Words that say little about which rule may match.
+_COMMON = frozenset("licen licens license licence version v under the of or and a as is by for free software public general terms any to in this on with".split())
+
+
+def plain_runs(rx: str) -> list[str]:
+    """The stretches of plain characters that every match of an expression holds."""
+    out, run, i = [], "", 0
+    while i < len(rx):
+        c = rx[i]
+        if c == "|":
+            return []
+        if c in "([":
+            depth, close = 0, {"(": ")", "[": "]"}[c]
+            for j in range(i, len(rx)):
+                depth += (rx[j] == c) - (rx[j] == close)
+                if not depth:
+                    break
+            out, run, i = [*out, run], "", j
+        elif c in "?*{":  # what comes before may be missing
+            out, run, i = [*out, run[:-1]], "", rx.index("}", i) if c == "{" else i
+        elif c in "+.\\^$)":
+            out, run = [*out, run], ""
+        else:
+            run += c
+        i += 1
+    return [x for x in [*out, run] if x]
+
+
+def gate(keyword: str, rx: str) -> str:
+    """The stretch with the most letters in words of three or more that aren't common ones; the rule's keyword, if none has more."""
+    telling = lambda x: (sum(len(w) for w in x.split() if len(w) > 2 and w not in _COMMON), len(x))
+    return max([keyword, *plain_runs(rx)], key=telling)
+
+
 CONFIDENCE = {0: 0.0, 1: 0.3, 2: 0.7, 3: 0.95}
 _FOUND = "array<struct<start:int,stop:int,priority:int,rule:int,label:string>>"
 
@@ -268,7 +302,7 @@ def _spaces(x: Column) -> Column:
 
 def _detect(joined: Column) -> Column:
     """All rules' places in a text of joined words, as word intervals [start, stop)."""
-    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(k).alias("keyword"), F.lit(f"(?<= )({rx})(?= )").alias("rx")) for i, (label, p, k, rx) in enumerate(RULES)])
+    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(gate(k, rx)).alias("gate"), F.lit(f"(?<= )({rx})(?= )").alias("rx")) for i, (label, p, k, rx) in enumerate(RULES)])
 
     def places(r: Column) -> Column:
         marked = F.split(F.regexp_replace(joined, r["rx"], F.lit("\u0001$1\u0002")), F.lit("\u0001"))
@@ -281,7 +315,7 @@ def _detect(joined: Column) -> Column:
 
         return F.aggregate(marked, none, step, lambda acc: acc["found"])
 
-    return F.flatten(F.transform(F.filter(rules, lambda r: joined.contains(r["keyword"])), places))
+    return F.flatten(F.transform(F.filter(rules, lambda r: joined.contains(r["gate"])), places))
 
 
 def _kept(found: Column) -> Column:
@@ -311,13 +345,13 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     held = df.drop("n_words", "detections", "base", "labels", "score")
     joined, found = unused(held, "_joined", "_found")
     x = held.withColumn(joined, words_joined(F.col(text_col)))
-    gate = F.lit(False)
+    some = F.lit(False)
     for root in ROOTS:
-        gate = gate | F.col(joined).contains(root)
-    x = x.select(*held.columns, F.greatest(_spaces(F.col(joined)) - 1, F.lit(0)).cast("bigint").alias("n_words"), F.when(gate, _detect(F.col(joined))).otherwise(F.array().cast(_FOUND)).alias(found))
+        some = some | F.col(joined).contains(root)
+    x = x.select(*quoted(held.columns), F.greatest(_spaces(F.col(joined)) - 1, F.lit(0)).cast("bigint").alias("n_words"), F.when(some, _detect(F.col(joined))).otherwise(F.array().cast(_FOUND)).alias(found))
     x = x.withColumn("detections", F.when(F.size(found) > 0, _kept(F.col(found))).otherwise(F.array().cast("array<struct<start:int,stop:int,priority:int,label:string>>")))
     x = x.withColumn("base", F.transform(F.filter(found, lambda r: r["rule"] < len(BASE)), lambda r: F.struct(r["start"], r["label"])))
     labels = F.array_sort(F.array_distinct(F.concat(F.transform("detections", lambda r: r["label"]), F.transform("base", lambda r: r["label"]))))
     best = F.coalesce(F.array_max(F.transform("detections", lambda r: r["priority"])), F.lit(0))
     score = F.element_at(F.array(*[F.lit(CONFIDENCE[p]) for p in range(4)]), best + 1)
-    return x.select(*held.columns, "n_words", "detections", "base", labels.alias("labels"), score.alias("score"))
+    return x.select(*quoted(held.columns), "n_words", "detections", "base", labels.alias("labels"), score.alias("score"))

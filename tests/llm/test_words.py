@@ -422,6 +422,16 @@ def test_license_gates_let_their_own_texts_through():
     assert not shut, shut[:10]
 
 
+def test_license_rules_have_gates_of_their_own():
+    """Every text that a rule matches holds its gate, and no gate serves many rules."""
+    from collections import Counter
+
+    assert licenses.plain_runs("a(?:b|c)? dx?e [fg]h+i{2}j") == ["a", " d", "e ", "h", "j"]
+    shut = [(label, licenses.gate(k, rx), x) for label, _, k, rx in licenses.RULES for x in samples_of(rx) if licenses.gate(k, rx) not in f" {x} "]
+    assert not shut, shut[:10]
+    assert max(Counter(licenses.gate(k, rx) for _, _, k, rx in licenses.RULES).values()) <= 24
+
+
 def test_license_texts_without_english_words_are_found(spark):
     wanted = {"alle rechte vorbehalten": "reserved", "Datenlizenz Deutschland - Namensnennung": "dl-de-by", "Deutsche Freie Software Lizenz": "d-fsl", "CeCILL": "cecill", "a trade secret": "trade-secret", "without prior written consent": "permission-required"}
     docs = spark.createDataFrame(list(enumerate(wanted)), "doc_id bigint, text string")
