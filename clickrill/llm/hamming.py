@@ -47,14 +47,20 @@ def distance(a: Column, b: Column, dims: int) -> Column:
     return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), neighbor_id, distance (bits): each query's k nearest other rows by (distance, id).
 
+    Codes have a bit for each component of the longest vector, or `dims` bits; a vector with more than dims components raises.
     queries: rows of the same layout. Rows with a null id or a null or empty vector are no neighbours and get none. Fewer
     than k others: all of them. A row with the query's own id isn't its neighbour; repeated rows count once. Empty: no rows.
     """
     usable = lambda df: df.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0))
-    size = max(4, min(16, round(math.log2(usable(vectors).count() + 1)) - 2))
+    n, longest = usable(vectors).agg(F.count("*"), F.max(F.size(vector_col))).first()
+    longest = max(longest or 1, usable(queries).agg(F.max(F.size(vector_col))).first()[0] or 1)
+    if dims is not None and longest > dims:
+        raise ValueError(f"a vector has {longest} components, not {dims}")
+    dims = dims or longest
+    size = max(4, min(16, round(math.log2(n + 1)) - 2))
     m = -(-dims // size)
     coded = lambda df: usable(df).select(F.col(id_col).cast("bigint").alias("id"), sign_code(F.col(vector_col), dims).alias("code"), _bits(F.col(vector_col), dims, size, F.lit(1)).alias("segs"))
     rows, asked = stored(coded(vectors).distinct(), "codes"), stored(coded(queries).distinct(), "asked")
@@ -64,9 +70,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int = 64, i
     classes = few.groupBy("code", "segs").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"))
     classes = stored(classes.select("code", "segs", "ids", F.size("ids").alias("n"), F.col("ids")[0].alias("least")), "classes")
     entries = classes.select("code", F.posexplode("segs").alias("seg", "val"))
-    parts = entries.groupBy("seg", "val").agg(F.ceil(F.count("*") / LIST).alias("parts"))
-    dealt = entries.join(parts, ["seg", "val"]).withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts")))
-    index = stored(dealt.groupBy("seg", "val", "part").agg(F.collect_list("code").alias("codes")).drop("part"), "lists")
+    # lists of more than LIST codes are dealt out, and so are their probes
+    long = stored(entries.groupBy("seg", "val").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts")).where("parts > 1"), "long")
+    cut = not long.isEmpty()
+
+    def part(own: DataFrame, at: Column) -> DataFrame:
+        """own with the part of its list that the row goes to; at: one of 0 .. parts - 1, or an array of all."""
+        return own.join(long, ["seg", "val"], "left").withColumn("part", at).drop("parts") if cut else own.withColumn("part", F.lit(0))
+
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = part(entries, F.pmod(F.xxhash64("code"), parts).cast("int"))
+    index = stored(dealt.groupBy("seg", "val", "part").agg(F.collect_list("code").alias("codes")), "lists")
     open_ = stored(asked.select(F.col("code").alias("q"), "segs", F.lit(dims).alias("within")).distinct(), "open")
     best, found, done = Window.partitionBy("q").orderBy("d", "least"), None, []
     for radius in range(size + 1):
@@ -74,7 +88,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int = 64, i
         probes = open_.select("q", "within", F.posexplode("segs").alias("seg", "own")).select("q", "within", "seg", "own", F.explode(F.array(*[F.lit(x) for x in masks])).alias("mask"))
         probes = probes.select("q", "within", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val"))
         # probes are many times the rows that they come from, which size estimates miss: no broadcast
-        met = probes.hint("merge").join(index, ["seg", "val"])
+        met = part(probes, F.explode(F.sequence(F.lit(0), parts - 1))).hint("merge").join(index, ["seg", "val", "part"])
         near = F.filter(F.transform("codes", lambda c: F.struct(distance(F.col("q"), c, dims).alias("d"), c.alias("code"))), lambda x: x["d"] <= F.col("within"))
         new = met.select("q", F.explode(near).alias("x")).select("q", "x.code", "x.d").distinct().join(classes.drop("segs"), "code").select("q", "code", "d", "ids", "n", "least")
         old = new.limit(0) if found is None else found.join(open_.select("q"), "q")

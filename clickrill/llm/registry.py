@@ -53,7 +53,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
-    return hamming.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=10, dims=64)
+    return hamming.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=10)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +77,6 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-
-
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))

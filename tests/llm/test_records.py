@@ -167,6 +167,20 @@ def test_top_k(spark, n, dims):
     assert set(got) == {i for i in bits if i % 7 == 0}
 
 
+def test_top_k_with_long_lists(spark, monkeypatch):
+    """Lists of more than LIST codes are cut, and the answer is the same."""
+    monkeypatch.setattr(hamming, "LIST", 3)
+    test_top_k(spark, 300, 64)
+
+
+def test_top_k_takes_whole_vectors(spark):
+    df = spark.createDataFrame([(i, [1.0] * 70 + [1.0 if i > k else -1.0 for k in range(20)]) for i in range(21)], "vec_id bigint, embedding array<double>")
+    got = hamming.top_k(df, df.where("vec_id = 5"), 3).orderBy("rank").collect()
+    assert [(r["neighbor_id"], r["distance"]) for r in got] == [(4, 1), (6, 1), (3, 2)]
+    with pytest.raises(ValueError, match="90 components"):
+        hamming.top_k(df, df, 3, 64)
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(1, [1.0] * 64), (2, [-1.0] * 64)], "vec_id bigint, embedding array<double>")
     assert [tuple(r) for r in hamming.top_k(df, df, 10).orderBy("query_id").collect()] == [(1, 1, 2, 64), (2, 1, 1, 64)]
