@@ -1,6 +1,6 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-1. index(): the postings of every word of the training texts, a stored table with a row for each term and chunk of texts
+1. index(): the postings of every word of the training texts, a stored table with a row for each term and segment of texts
    (the documents and positions in which it occurs there). It doesn't depend on the test items and serves any number of them.
 2. Each test window (13 consecutive item words; all words of a shorter item) picks its rarest terms by their postings;
    windows with a term that the corpus lacks are dropped.
@@ -24,6 +24,8 @@ from .tokens import ALNUM_LOWER, chunks
 WINDOW = 13
 #: Rarest terms of a window whose lists are intersected.
 PICKED = 3
+#: Bytes of texts whose lists are rows of the index together.
+SEGMENT = 8 << 20
 #: Occurrences of a term in one row of the index, at most; a list of more is several rows, so none is too long for a task.
 LIST = 100_000
 #: Occurrences of a term that one task joins to its windows.
@@ -34,7 +36,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) -> (term, ids, positions), an entry for each occurrence, in order."""
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False) if not b.column(0).null_count else None
-        for i, _, words in chunks(b.column(1), ALNUM_LOWER):
+        for i, _, words in chunks(b.column(1), ALNUM_LOWER, size=SEGMENT):
             h = words.hashes.view(np.int64)
             if not len(h):
                 continue

@@ -121,14 +121,15 @@ def raw_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8), offsets
 
 
-def chunks(texts: pa.Array, alphabet: Alphabet, key: int = 0) -> Iterator[tuple[int, int, Words]]:
-    """(from, to, Words) for runs of the texts of about CHUNK bytes; a null text has no words."""
+def chunks(texts: pa.Array, alphabet: Alphabet, key: int = 0, size: int | None = None) -> Iterator[tuple[int, int, Words]]:
+    """(from, to, Words) for runs of the texts of about `size` bytes (CHUNK); a null text has no words."""
+    size = size or CHUNK
     n = len(texts)
     if not n:
         return
     data, offsets = raw_texts(texts)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield i, j, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], alphabet, key)
         i = j
