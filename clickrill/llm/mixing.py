@@ -1,28 +1,34 @@
 """Mixing sources to target weights with soft domain membership, in built-in functions only.
 
-1. A softmax classifier over the labelled table: chosen terms (words and a few shape marks) present in a text give the
-   posterior of each domain. Only the fit is bounded, to TRAIN_DOCS labelled documents drawn by a hash of the id.
-2. Projected-gradient least squares: rates r >= 0 of the documents, starting at 1, such that each domain's expected
-   tokens, sum of r * tokens * posterior, meet their targets. A gradient step takes the posteriors' inner product with the
-   residuals, preconditioned by the D x D moment matrix of the documents that aren't at the bound; the projection on
-   r >= floor is lazy: r = max(floor, 1 - p . (sum of all steps)). A rate so follows from a document's posterior and D
-   numbers, and a step is one distributed sum of D * (D + 3) / 2 numbers.
+1. A softmax classifier over the labelled table: hashed words and a few shape marks of a text give the posterior of each
+   domain. Every word counts; features are scaled by the log ratio of their shares inside and outside a domain. Only
+   the fit is bounded, to TRAIN_DOCS labelled documents drawn by a hash of the id, and the model to FEATURES buckets.
+2. Projected-gradient least squares: rates r >= floor of the documents, starting at 1, such that each domain's expected
+   tokens, sum of r * tokens * posterior, meet their targets. A step is r = max(floor, r - posterior . g), with tokens as the
+   metric of the rates. First g is the residual preconditioned by the D x D moment matrix of the documents that are not at the
+   floor, which meets targets that can be met in a few steps. Where they can't, accelerated steps along the plain residual
+   follow, down to the least-squares point. A rate so follows from a document's posterior and the D numbers of each step,
+   and a step is one distributed sum of D * (D + 3) / 2 numbers.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, unused
+from .common import quoted, stored, unused
 
 TRAIN_DOCS = 8000
-#: Terms kept for each domain, and the fewest training documents that a term occurs in.
-TERMS = 128
-LEAST = 5
-STEPS = 60
+#: Buckets of the hashed words.
+FEATURES = 1 << 16
+#: Preconditioned steps, and accelerated ones after them where targets can't be met, at most.
+STEPS, MORE_STEPS = 60, 200
 TOLERANCE = 1e-6
+#: Steps in one plain expression; with more, a fold over an array of steps. Rates are written out after so many.
+UNROLLED, FOLDED = 12, 20
 
 
 def _words(text: Column) -> Column:
@@ -31,35 +37,41 @@ def _words(text: Column) -> Column:
 
 
 def _marks(text: Column) -> Column:
-    """Marks of a text's shape: shares of capitals and of symbols, shortness."""
+    """Marks of a text's shape: shares of capitals, of symbols and of digits, shortness."""
     text = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(text), F.lit(1))
     share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / n
+    digits = (F.length(text) - F.length(F.translate(text, "0123456789", ""))) / n
     mark = lambda name, x, low, high: F.when(x >= high, f"#{name}1").when(x >= low, f"#{name}0").otherwise(f"#{name}")
-    return F.array(mark("upper", share(r"[A-ZÀ-Þ]"), 0.1, 0.4), mark("symbol", share(r"[#$%&*|!]"), 0.02, 0.1), mark("short", -n, -40, -10))
+    return F.array(mark("upper", share(r"[A-ZÀ-Þ]"), 0.1, 0.4), mark("symbol", share(r"[#$%&*|!]"), 0.02, 0.1), mark("digit", digits, 0.1, 0.4), mark("short", -n, -40, -10))
 
 
 def n_words(words: Column) -> Column:
     return (F.size(words) - (F.get(words, F.lit(0)) == "").cast("int") - F.when(F.size(words) > 1, (F.element_at(words, -1) == "").cast("int")).otherwise(0)).cast("bigint")
 
 
-class Classifier:
-    """terms: the weights of each term present, one for each domain; prior: the scores of a text without any."""
+def _features(words: Column, marks: Column) -> Column:
+    """The distinct buckets of a text's words and marks."""
+    return F.array_distinct(F.transform(F.concat(words, marks), lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES)).cast("int")))
 
-    def __init__(self, domains: list[str], prior: list[float], terms: dict[str, list[float]]):
-        self.domains, self.prior, self.terms = domains, prior, terms
 
-    def present(self, words: Column, marks: Column) -> Column:
-        """The chosen terms among a text's words and marks."""
-        return F.array_intersect(F.concat(words, marks), F.array(*[F.lit(t) for t in sorted(self.terms)])) if self.terms else F.array().cast("array<string>")
+class Classifier:
+    """weights: the scores that a feature adds to each domain (FEATURES x domains); prior: those of a text without any."""
+
+    def __init__(self, domains: list[str], prior: list[float], weights: np.ndarray | None = None):
+        self.domains, self.prior, self.weights = domains, prior, weights
 
-    def scores(self, present: Column) -> Column:
-        """array<double>: the prior and the weights of the terms present."""
-        start = F.array(*[F.lit(p) for p in self.prior])
-        if not self.terms:
-            return start
-        table = F.create_map(*[x for t in sorted(self.terms) for x in (F.lit(t), F.array(*[F.lit(w) for w in self.terms[t]]))])
-        return F.aggregate(present, start, lambda acc, t: F.zip_with(acc, F.element_at(table, t), lambda a, b: a + b))
+    def scores(self, features: Column) -> list[Column]:
+        """The score of each domain, less that of the first."""
+        out = [F.lit(0.0)]
+        for d in range(1, len(self.domains)):
+            start = F.lit(float(self.prior[d] - self.prior[0]))
+            if self.weights is None:
+                out.append(start)
+                continue
+            own = F.from_json(F.lit(json.dumps([round(float(x), 6) for x in self.weights[:, d] - self.weights[:, 0]])), "array<double>")
+            out.append(F.aggregate(features, start, lambda acc, i: acc + F.get(own, i)))
+        return out
 
 
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> Classifier:
@@ -67,92 +79,140 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
     usable row every posterior is the uniform one."""
     usable = labelled.where(F.col("domain").isin(domains)).select(F.col(id_col).alias("_id"), "domain").dropDuplicates(["_id"])
     chosen = usable.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id").orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
-    rows = stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("domain", F.array_distinct(F.concat(_words(F.col("text")), _marks(F.col("text")))).alias("terms")), "labelled")
-    sizes = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
-    n = [sizes.get(d, 0) for d in domains]
-    total = sum(n)
-    if not total:
-        return Classifier(domains, [0.0] * len(domains), {})
-    counts = rows.select("domain", F.explode("terms").alias("term")).groupBy("term").agg(*[F.count_if(F.col("domain") == d).alias(f"c{i}") for i, d in enumerate(domains)])
-    all_ = sum((F.col(f"c{i}") for i in range(len(domains))), F.lit(0))
-    # a term speaks for or against a domain by its documents times the log ratio of its shares there and elsewhere
-    gain = [all_ * F.abs(F.log((F.col(f"c{i}") + 0.5) / F.lit(x + 1.0)) - F.log((all_ - F.col(f"c{i}") + 0.5) / F.lit(total - x + 1.0))) for i, x in enumerate(n)]
-    scored = stored(counts.where((all_ >= LEAST) & (F.col("term") != "")).select("term", *[g.alias(f"g{i}") for i, g in enumerate(gain)]), "terms")
-    terms = sorted({r["term"] for i in range(len(domains)) for r in scored.orderBy(F.desc(f"g{i}"), "term").limit(TERMS).collect()} | {r["term"] for r in scored.where("term LIKE '#%'").collect()})
-    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    sample = sorted((r["domain"], sorted(r["t"])) for r in rows.select("domain", F.array_intersect("terms", wanted).alias("t")).collect())  # max_docs rows of up to len(domains) * TERMS terms
-    at = {t: k for k, t in enumerate(terms)}
-    x, y = np.zeros((len(sample), len(terms) + 1), np.float32), np.zeros((len(sample), len(domains)), np.float32)
-    x[:, -1] = 1
-    for k, (domain, present) in enumerate(sample):
-        x[k, [at[t] for t in present]] = 1
-        y[k, domains.index(domain)] = 1
-    w = _softmax_fit(x, y)
-    return Classifier(domains, w[-1].tolist(), {t: w[k].tolist() for t, k in at.items()})
-
-
-def _softmax_fit(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3) -> np.ndarray:
-    """Weights (features x domains) of a regularized softmax regression, by Adam on the whole sample."""
-    w, m1, m2 = (np.zeros((x.shape[1], y.shape[1])) for _ in range(3))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
+    rows = texts.select("domain", F.array_sort(_features(_words(F.col("text")), _marks(F.col("text")))).alias("x")).collect()  # max_docs rows of FEATURES numbers at most
+    sample = sorted((domains.index(r["domain"]), r["x"]) for r in rows)
+    if not sample:
+        return Classifier(domains, [0.0] * len(domains))
+    prior, weights = _softmax_fit([np.array(x, np.int64) for _, x in sample], np.array([d for d, _ in sample]), len(domains))
+    return Classifier(domains, prior.tolist(), weights)
+
+
+def _softmax_fit(x: list[np.ndarray], y: np.ndarray, n_domains: int, steps: int = 150, rate: float = 0.05, ridge: float = 3e-3) -> tuple[np.ndarray, np.ndarray]:
+    """(prior, weights) of a regularized softmax regression over binary features scaled by their log ratios, by Adam on the
+    whole sample. x: the features of each document; only those that occur have weights."""
+    size = np.array([len(r) for r in x])
+    row = np.repeat(np.arange(len(x)), size)
+    seen, flat = np.unique(np.concatenate(x), return_inverse=True)
+    flat, row = np.r_[flat, np.full(len(x), len(seen))], np.r_[row, np.arange(len(x))]  # the constant
+    by_row, by_feature = np.argsort(row, kind="stable"), np.argsort(flat, kind="stable")
+    row_cuts, feature_cuts = np.r_[0, np.cumsum(size + 1)[:-1]], np.searchsorted(flat[by_feature], np.arange(len(seen) + 1))
+    wanted = np.eye(n_domains)[y]
+    docs = wanted.sum(0)
+    inside = np.add.reduceat(wanted[row[by_feature]], feature_cuts)
+    outside = inside.sum(1, keepdims=True) - inside
+    scale = np.log((inside + 1) / (docs + 2)) - np.log((outside + 1) / (docs.sum() - docs + 2))
+    scale[-1] = 1.0
+    w, m1, m2 = (np.zeros(scale.shape) for _ in range(3))
     for step in range(1, steps + 1):
-        z = x @ w.astype(np.float32)
+        z = np.add.reduceat((w * scale)[flat[by_row]], row_cuts)
         p = np.exp(z - z.max(1, keepdims=True))
-        g = x.T @ (y - p / p.sum(1, keepdims=True)) / len(x) - ridge * w
+        miss = wanted - p / p.sum(1, keepdims=True)
+        g = np.add.reduceat(miss[row[by_feature]], feature_cuts) / len(x) * scale - ridge * w
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w = w + rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    return w
+    weights = np.zeros((FEATURES, n_domains))
+    weights[seen] = (w * scale)[:-1]
+    return (w * scale)[-1], weights
 
 
 def memberships(df: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """df with n_tokens and p_<domain>: the posteriors, adding up to 1."""
-    words, present, scores = unused(df, "_words", "_present", "_scores")
-    x = df.select("*", _words(F.col(text_col)).alias(words))
-    x = x.select(*df.columns, n_words(F.col(words)).alias("n_tokens"), model.present(F.col(words), _marks(F.col(text_col))).alias(present))
-    x = x.select(*df.columns, "n_tokens", model.scores(F.col(present)).alias(scores))
+    """df with n_tokens and p_<domain>: the posteriors, adding up to 1. Tokens are runs of 0-9, a-z, A-Z and characters
+    beyond ASCII, so a text of symbols alone has none. Columns of df named like a result are replaced."""
+    df = df.drop("n_tokens", *[f"p_{d}" for d in model.domains])
+    words, x, scores = unused(df, "_words", "_features", "_scores")
+    own = quoted(df.columns)
+    out = df.select(*own, _words(F.col(text_col)).alias(words))
+    out = out.select(*own, n_words(F.col(words)).alias("n_tokens"), _features(F.col(words), _marks(F.col(text_col))).alias(x))
+    out = out.select(*own, "n_tokens", F.array(*model.scores(F.col(x))).alias(scores))
+    # through a generator: each score is computed once
+    out = out.select(*own, "n_tokens", F.explode(F.array(F.col(scores))).alias(scores))
     each = [F.exp(F.get(scores, F.lit(i)) - F.array_max(scores)) for i in range(len(model.domains))]
     whole = sum(each[1:], each[0])
-    return x.select(*df.columns, "n_tokens", *[(e / whole).alias(f"p_{d}") for e, d in zip(each, model.domains, strict=True)])
+    return out.select(*own, "n_tokens", *[(e / whole).alias(f"p_{d}") for e, d in zip(each, model.domains, strict=True)])
+
+
+class _Steps:
+    """The steps taken so far, each D numbers g and a momentum b: (r, q) -> (max(floor, y - p . g), r), y = r + b * (r - q).
+    Those of before the last table that was written are in its columns r and q."""
+
+    def __init__(self, p: list[Column], floor: float):
+        self.p, self.floor, self.all, self.since = p, float(floor), [], 0
 
+    def _fold(self, steps: list[list[float]], r: Column, q: Column) -> tuple[Column, Column]:
+        def moved(y: Column, g) -> Column:
+            return F.greatest(F.lit(self.floor), y - sum((x * g(i) for i, x in enumerate(self.p)), F.lit(0.0)))
 
-def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0, max_steps: int = STEPS) -> tuple[Column, dict]:
+        if len(steps) <= UNROLLED and not any(s[-1] for s in steps):
+            for s in steps:
+                r, q = moved(r, lambda i, s=s: F.lit(float(s[i]))), r
+            return r, q
+        listed, last = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>"), len(self.p)
+        both = F.aggregate(listed, F.struct(r.alias("r"), q.alias("q")), lambda a, s: F.struct(moved(a["r"] + F.get(s, F.lit(last)) * (a["r"] - a["q"]), lambda i: F.get(s, F.lit(i))).alias("r"), a["r"].alias("q")))
+        return both["r"], both["q"]
+
+    def rate(self) -> Column:
+        return self._fold(self.all, F.lit(1.0), F.lit(1.0))[0]
+
+    def point(self, written: bool) -> tuple[Column, Column]:
+        """(r, q) over the table as it is."""
+        return self._fold(self.all[self.since :], *((F.col("r"), F.col("q")) if written else (F.lit(1.0), F.lit(1.0))))
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0, max_steps: int = STEPS, more_steps: int = MORE_STEPS) -> tuple[Column, dict]:
     """The rate as an expression over p_<domain> of members, and a report of targets and what is reached.
 
     targets: expected tokens wanted of each domain. Where no rates >= floor meet them (a domain without documents, say),
-    the answer is the nearest of the steps taken, and the report shows the difference.
+    the rates are those of the least squared differences, and the report shows what is left of them.
     """
     domains = sorted(targets)
-    want = np.array([float(targets[d]) for d in domains])
-    p, t, n = [F.col(f"p_{d}") for d in domains], F.col("n_tokens"), len(domains)
-
-    def rate(steps: np.ndarray) -> Column:
-        inner = sum((p[i] * float(steps[i]) for i in range(n)), F.lit(0.0))
-        return F.greatest(F.lit(float(floor)), 1.0 - inner)
-
-    def measure(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r = rate(steps)
-        free = F.when(r > floor, t).otherwise(0)
-        total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
-        row = members.agg(*[total(r * t * p[i]).alias(f"g{i}") for i in range(n)], *[total(free * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(n) for j in range(i + 1)]).first()
+    want, n = np.array([float(targets[d]) for d in domains]), len(domains)
+    p, t = [F.col(f"p_{d}") for d in domains], F.col("n_tokens")
+    table, written, steps = members.select("n_tokens", *p), False, _Steps(p, floor)
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+
+    def measure() -> tuple[np.ndarray, np.ndarray]:
+        r = steps.point(written)[0].alias("y")
+        y = table.select("n_tokens", *p, F.explode(F.array(r)).alias("y"))
+        free = F.when(F.col("y") > floor, t).otherwise(0)
+        row = y.agg(*[total(F.col("y") * t * p[i]).alias(f"g{i}") for i in range(n)], *[total(free * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(n) for j in range(i + 1)]).first()
         return np.array([float(row[f"g{i}"]) for i in range(n)]), np.array([[row[f"m{max(i, j)}_{min(i, j)}"] for j in range(n)] for i in range(n)], float)
 
-    best = steps = np.zeros(n)
-    reached, moments = measure(steps)
-    best_reached, move = reached, None
+    def left(reached: np.ndarray) -> float:
+        return float(((reached - want) ** 2).sum())
+
+    reached, moments = measure()
+    met = (TOLERANCE * max(1.0, want.sum())) ** 2
+    lipschitz, size = float(np.linalg.eigvalsh(moments).max(initial=0)), 1.0
     for _ in range(max_steps):
-        if np.abs(best_reached - want).max(initial=0) <= TOLERANCE * max(1.0, want.sum()):
+        if left(reached) <= met:
             break
-        if np.abs(reached - want).sum() <= np.abs(best_reached - want).sum():
-            best, best_reached = steps, reached
-            move = np.linalg.pinv(moments, rcond=1e-9) @ (reached - want)
+        steps.all.append([*(size * np.linalg.pinv(moments, rcond=1e-9) @ (reached - want)).tolist(), 0.0])
+        new, new_moments = measure()
+        if left(new) < left(reached) * (1 - 1e-4 * size):
+            reached, moments, size = new, new_moments, min(1.0, 2 * size)
         else:
-            move = move / 2
-            if np.abs(move).max(initial=0) < 1e-12:
+            steps.all.pop()
+            size /= 4
+            if size < 1e-3:
+                break
+    if left(reached) > met and lipschitz > 0:
+        k, flat, before, last = 0, 0, left(reached), reached
+        for _ in range(more_steps):
+            momentum = k / (k + 3)
+            if len(steps.all) - steps.since >= FOLDED:
+                r, q = steps.point(written)
+                table = stored(table.select("n_tokens", *p, r.alias("r"), q.alias("q")), "rates")
+                steps.since, written = len(steps.all), True
+            y = reached + momentum * (reached - last)  # what is reached is linear in the rates
+            steps.all.append([*((y - want) / lipschitz).tolist(), momentum])
+            last, (reached, _) = reached, measure()
+            k = k + 1 if left(reached) <= before else 0  # momentum starts anew where it leads up
+            flat = flat + 1 if abs(before - left(reached)) <= 1e-6 * before else 0
+            before = left(reached)
+            if before <= met or flat >= 5:
                 break
-        steps = best + move
-        reached, moments = measure(steps)
-    if np.abs(reached - want).sum() < np.abs(best_reached - want).sum():
-        best, best_reached = steps, reached
-    return rate(best), {d: {"target": float(w), "reached": float(x)} for d, w, x in zip(domains, want, best_reached, strict=True)}
+    return steps.rate(), {d: {"target": float(w), "reached": float(x)} for d, w, x in zip(domains, want, reached, strict=True)}
 
 
 def mix(members: DataFrame, weights: dict[str, float], floor: float = 0.0, total: float | None = None) -> DataFrame:

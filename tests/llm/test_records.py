@@ -446,6 +446,41 @@ def test_rates_with_a_bound(spark):
     assert report["a"]["reached"] == 0
 
 
+def least_squares(p, t, want):
+    """Nonnegative least squares by coordinate descent."""
+    a = (p * t[:, None]).T
+    r = np.ones(len(t))
+    for _ in range(4000):
+        res = a @ r - want
+        for k in range(len(t)):
+            if a[:, k] @ a[:, k] > 0:
+                new = max(0.0, r[k] - a[:, k] @ res / (a[:, k] @ a[:, k]))
+                res += a[:, k] * (new - r[k])
+                r[k] = new
+    return ((a @ r - want) ** 2).sum()
+
+
+@pytest.mark.parametrize("want", [(500.0, 4000.0, 100.0), (3000.0, 10.0, 10.0)])
+def test_rates_that_cannot_meet_their_targets(spark, want):
+    """The rates reach the least-squares point, by brute force."""
+    r = np.random.default_rng(8)
+    p = r.dirichlet([4, 3, 3], size=40)
+    t = r.integers(1, 100, 40).astype(float)
+    df = common.stored(spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(t, p, strict=True)], "n_tokens bigint, p_a double, p_b double, p_c double").coalesce(1), "m")
+    rate, report = mixing.fit_rates(df, dict(zip("abc", want, strict=True)))
+    got = df.select("*", rate.alias("r")).collect()
+    sums = [sum(x["r"] * x["n_tokens"] * x[f"p_{d}"] for x in got) for d in "abc"]
+    assert np.allclose(sums, [report[d]["reached"] for d in "abc"], rtol=1e-6) and min(x["r"] for x in got) >= 0
+    best, own = least_squares(p, t, np.array(want)), sum((a - b) ** 2 for a, b in zip(sums, want, strict=True))
+    assert best > 1000 and own <= 1.02 * best
+
+
+def test_memberships_replace_columns_of_their_names(spark):
+    model = mixing.Classifier(["a", "b"], [0.0, 0.0])
+    df = spark.createDataFrame([("x y", 5, 6, 7)], "text string, n_tokens int, p_a int, `_words.x` int")
+    assert [tuple(r) for r in mixing.memberships(df, model).collect()] == [("x y", 7, 2, 0.5, 0.5)]
+
+
 def test_mixing_odd(spark, odd_documents, no_documents):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = mixing.train(docs, registry.domain_labels(spark.read.parquet(f"{SF}/labels.parquet")), sorted(registry.WEIGHTS))
