@@ -31,8 +31,9 @@ def entry(entries: Column, key: str) -> Column:
 
 def url_params(request: Column) -> Column:
     """map<string,string> of url_entries; the last of a key wins."""
-    put = lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"]))
-    return F.aggregate(url_entries(request), F.create_map().cast("map<string,string>"), put)
+    last = lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["key"] == p["key"]))
+    # inside a transform of one element, so the entries are made once
+    return F.map_from_entries(F.get(F.transform(F.array(url_entries(request)), last), F.lit(0)))
 
 
 def page_id(url: Column, flag: str) -> Column:

@@ -43,7 +43,7 @@ def week_of_year(d: Column) -> Column:
 
 
 def date_dimension(d: Column, grain: str) -> Column:
-    """struct(year, season, month, week, day, calendar, type) at a grain; finer parts are 0 (day: 1 for whole periods)."""
+    """struct(year, season, month, week, day, calendar, type) at a grain; finer parts are 0."""
     part = {"year": F.year(d), "season": F.quarter(d), "month": F.month(d), "week": week_of_year(d), "day": F.dayofmonth(d)}
     zero = F.lit(0)
     sunday = first_day_of_week(d)

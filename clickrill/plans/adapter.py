@@ -51,3 +51,18 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = F.concat(F.lit("/log.gif?en="), F.col("en"), F.lit("&ver=1&pl=website&uid="), F.col("uid"), F.lit("&sid="), F.col("sid"), F.lit("&url="), url, F.lit("&tt=find_"), F.coalesce("kw", F.lit("")), F.lit("_page&&a=&=b"))
     line = F.concat_ws(" ", "ip", seconds, F.lit("host1"), request)
     return e.select("event_id", F.when(F.col("event_id") % 97 == 0, F.lit("  ")).when(F.col("event_id") % 89 == 0, F.concat(line, F.lit(" more"))).when(F.col("event_id") % 83 == 0, F.replace(line, F.lit("en=e_"), F.lit("en=q_"))).otherwise(line).alias("value"))
+
+
+def user_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user-agent string for each event, of eight kinds by its number."""
+    n = F.col("event_id")
+    version = F.concat((n % 90 + 10).cast("string"), F.lit(".0."), (n % 7).cast("string"))
+    kinds = [
+        ("Mozilla/5.0 (Windows NT 6.1; Win64; x64) Engine/1 Chrome/", " Safari/537"), ("Mozilla/5.0 (Linux; Android 9; Tablet) Engine/1 Chrome/", " Safari/537"),
+        ("Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) Engine/2 Version/", " Safari/605"), ("Mozilla/5.0 (X11; Linux x86_64; rv:9) Firefox/", ""),
+        ("Mozilla/5.0 (Windows NT 10.0) Engine/1 Chrome/90 Safari/537 Edg/", ""), ("Mozilla/4.0 (compatible; MSIE ", "; Windows NT 5.1)"), ("spider/", " (+http://crawl.example)"), ("plain tool ", ""),
+    ]
+    agent = F.lit(None).cast("string")
+    for i, (before, after) in enumerate(kinds):
+        agent = F.when(n % 8 == i, F.concat(F.lit(before), version, F.lit(after))).otherwise(agent)
+    return read(spark, sf_dir, "events").select("event_id", agent.alias("agent"))

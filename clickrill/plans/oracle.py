@@ -91,8 +91,36 @@ _FLOW_OUT = 'SELECT day, country, province, city, uv, pv, nu, sn, "on" FROM flow
 _HOT_OUT = """SELECT * FROM (SELECT CAST(row_number() OVER (PARTITION BY day, country, province ORDER BY "count" DESC, keyword, city) AS INTEGER) AS rank, * FROM tr) WHERE rank <= 3"""
 _WORDS = "SELECT word, CAST(count(*) AS BIGINT) AS \"count\" FROM (SELECT unnest(string_split(rtrim({0}, ' '), ' ')) AS word FROM {1}) GROUP BY word"
 
+#: Places of addresses, over the rules that the test tables stand for.
+RULES = "ru AS (SELECT (n_nationkey + 10) * 16777216 AS lo, (n_nationkey + 10) * 16777216 + 4194303 AS hi, r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
+_IP = "CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT)"
+#: CRC-32 of each text t of w, a byte at a time over the table of remainders.
+CRC = """remainders AS (SELECT list(r ORDER BY i) AS r FROM (SELECT i, list_reduce(range(8), lambda x, j: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, i) AS r FROM range(256) u(i))),
+crcs AS (SELECT t, xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda b: CAST('0x' || b AS BIGINT)), lambda x, b: xor(x >> 8, r[xor(x, b) % 256 + 1]), 4294967295)) AS crc FROM (SELECT DISTINCT t FROM w), remainders)"""
+AGENTS = r"""
+WITH v AS (SELECT event_id, (event_id % 90 + 10) || '.0.' || (event_id % 7) AS v FROM events),
+a AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'Mozilla/5.0 (Windows NT 6.1; Win64; x64) Engine/1 Chrome/' || v || ' Safari/537' WHEN 1 THEN 'Mozilla/5.0 (Linux; Android 9; Tablet) Engine/1 Chrome/' || v || ' Safari/537'
+  WHEN 2 THEN 'Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) Engine/2 Version/' || v || ' Safari/605' WHEN 3 THEN 'Mozilla/5.0 (X11; Linux x86_64; rv:9) Firefox/' || v
+  WHEN 4 THEN 'Mozilla/5.0 (Windows NT 10.0) Engine/1 Chrome/90 Safari/537 Edg/' || v WHEN 5 THEN 'Mozilla/4.0 (compatible; MSIE ' || v || '; Windows NT 5.1)' WHEN 6 THEN 'spider/' || v || ' (+http://crawl.example)' ELSE 'plain tool ' || v END AS agent FROM v),
+p AS (SELECT *, nullif(regexp_extract(agent, '(Edg|Firefox|MSIE|spider|Version|Chrome)[/ ][0-9.]+', 1), '') AS b FROM a),
+q AS (SELECT *, CASE WHEN contains(agent, 'Edg/') THEN 'Edge' WHEN b = 'MSIE' THEN 'IE' WHEN b = 'spider' THEN 'Bot' WHEN b = 'Version' THEN 'Safari' ELSE b END AS b_n, nullif(regexp_extract(agent, '(Windows NT|Android|Mac OS X|Linux)', 1), '') AS o FROM p)
+SELECT event_id, agent, b_n,
+  CASE b_n WHEN 'Edge' THEN regexp_extract(agent, 'Edg/([0-9.]+)', 1) WHEN 'IE' THEN regexp_extract(agent, 'MSIE ([0-9.]+)', 1) WHEN 'Bot' THEN regexp_extract(agent, 'spider/([0-9.]+)', 1) WHEN 'Safari' THEN regexp_extract(agent, 'Version/([0-9.]+)', 1) WHEN 'Firefox' THEN regexp_extract(agent, 'Firefox/([0-9.]+)', 1) WHEN 'Chrome' THEN regexp_extract(agent, 'Chrome/([0-9.]+)', 1) END AS b_v,
+  CASE WHEN o = 'Windows NT' THEN 'Windows' WHEN contains(agent, 'Android') THEN 'Android' WHEN o = 'Mac OS X' THEN 'OS X' ELSE o END AS os_n,
+  CASE WHEN contains(agent, 'NT 6.1') THEN 'Windows 7' WHEN contains(agent, 'NT 10.0') THEN 'Windows 10' WHEN contains(agent, 'NT 5.1') THEN 'Windows XP' WHEN contains(agent, 'Android') THEN 'Android 9' WHEN o = 'Mac OS X' THEN 'OS X 10.15.7' ELSE o END AS os_v
+FROM q
+"""
+_TOP3 = _with(CITY, PRODUCT) + "SELECT CAST(2 AS BIGINT) AS task_id, province AS area, goods_id AS product_id, goods_name AS product_name, city_infos, click_count FROM (SELECT *, row_number() OVER (PARTITION BY province ORDER BY click_count DESC, goods_id) AS r FROM p) WHERE r <= 3"
+
 ORACLES = {
-    "area_top3_product": _with(CITY, PRODUCT) + "SELECT CAST(2 AS BIGINT) AS task_id, province AS area, goods_id AS product_id, goods_name AS product_name, city_infos, click_count FROM (SELECT *, row_number() OVER (PARTITION BY province ORDER BY click_count DESC, goods_id) AS r FROM p) WHERE r <= 3",
+    "area_top3_sql": _TOP3,
+    "user_agent": AGENTS,
+    "row_key_crc32": _with("w AS (SELECT event_id, s_time, uid || en AS t FROM el)", CRC) + "SELECT event_id, s_time || '_' || crc AS key FROM w JOIN crcs USING (t)",
+    "etl_store": _with(LINES.strip(), RULES, f"x AS (SELECT *, {_IP} AS n FROM ps WHERE reject IS NULL AND s_time >= {START_MS} AND s_time < {END_MS})") + "SELECT en, coalesce(r_name, 'unknown') AS country, CAST(s_time // 86400000 AS INTEGER) + DATE '1970-01-01' AS day, CAST(count(*) AS BIGINT) AS n FROM x LEFT JOIN ru ON n BETWEEN lo AND hi GROUP BY ALL",
+    "geo_stream_join": _with(RULES, f"x AS (SELECT row_key, {_IP} AS n FROM el)") + "SELECT row_key, coalesce(r_name, 'all') AS country, coalesce(n_name, 'all') AS province, CASE WHEN r_name IS NULL THEN 'all' ELSE 'main' END AS city FROM x LEFT JOIN ru ON n BETWEEN lo AND hi",
+    "stats_location_flow": _with(FLOW) + 'SELECT day, country, province, city, CAST(uv AS INTEGER) AS uv, CAST(pv AS INTEGER) AS pv, CAST(nu AS INTEGER) AS nu, CAST(sn AS INTEGER) AS sn, CAST("on" AS INTEGER) AS "on" FROM flow',
+    "search_hot_keyword": _with(PANES, 'tr AS (SELECT day, country, province, city, keyword, CAST(count(*) AS INTEGER) AS "count" FROM pn WHERE pane > (SELECT max(pane) FROM pn) - 3600000 GROUP BY ALL)') + _HOT_OUT,
+    "area_top3_product": _TOP3,
     "area_click_count": _with(CITY) + "SELECT * FROM c",
     "area_city_concat": _with(CITY, PRODUCT) + "SELECT * FROM p",
     "goods_join": _with() + "SELECT goods_id, goods_name, CAST(count(*) AS BIGINT) AS n FROM el JOIN goods ON gid = goods_id GROUP BY ALL",

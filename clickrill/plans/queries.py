@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parse, text, times
+from ..functions import parse, sql, text, times
 from ..operators import areas, categories, flow, geo, hotwords, sessions, tables
 from ..session import work_dir
 from ..sources import readers, sinks
@@ -86,7 +86,7 @@ def distinct_categories(spark, d):
 
 @query
 def category_click_cart(spark, d):
-    return categories.counts(_joined(spark, d))
+    return categories.by_category(adapter.event_log(spark, d), adapter.goods(spark, d))
 
 
 @query
@@ -233,9 +233,44 @@ def row_key_crc32(spark, d):
 
 @query
 def user_agent(spark, d):
-    agents = ["Mozilla/5.0 (Windows NT 10.0; WOW64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/50.0.2661.102 UBrowser/6.1.2716.5 Safari/537.36", "Mozilla/5.0 (iPhone; CPU iPhone OS 10_3 like Mac OS X) AppleWebKit/603.1.30 Version/10.0 Mobile Safari/602.1", "curl/7.0"]
-    df = spark.createDataFrame([(a,) for a in agents], "agent string")
-    return df.select("agent", *[c.alias(k) for k, c in parse.user_agent(F.col("agent")).items()])
+    agents = adapter.user_agents(spark, d)
+    return agents.select("event_id", "agent", *[c.alias(k) for k, c in parse.user_agent(F.col("agent")).items()])
+
+
+@query
+def area_top3_sql(spark, d):
+    """The areas' report in SQL, over views and registered functions."""
+    sql.register(spark)
+    sql.views(adapter.event_log(spark, d), adapter.goods(spark, d))
+    return spark.sql(sql.AREA_TOP3, {"task": TASK})
+
+
+@query
+def geo_stream_join(spark, d):
+    """The streams' join, over rules that overlap: each nation's and a wide one below all."""
+    wide = spark.createDataFrame([(0, (1 << 32) - 1, "all", "all", "all")], "start_ip bigint, end_ip bigint, country string, province string, city string")
+    rules = adapter.ip_rules(spark, d).unionByName(wide)
+    return geo.locate_stream(adapter.event_log(spark, d).select("row_key", "ip"), rules).select("row_key", "country", "province", "city")
+
+
+@query
+def stats_location_flow(spark, d):
+    """The flow stream's final table: metrics under the ids of their day and place."""
+    path = work_dir(spark, "flow-results")
+    jobs.flow_results(_event_stream(spark, d), f"{path}/rows", f"{path}/checkpoint", lateness=_SPAN).awaitTermination()
+    return jobs.flow_report(spark, f"{path}/rows")
+
+
+@query
+def search_hot_keyword(spark, d):
+    """The hot-word stream's final table: the top words of the hour up to the last search."""
+    path = work_dir(spark, "hot-results")
+    jobs.hot_words_results(_event_stream(spark, d), f"{path}/rows", f"{path}/checkpoint", lateness=_SPAN).awaitTermination()
+    return jobs.hot_words_report(spark, f"{path}/rows")
+
+
+#: The stored tables come in any order, so no event is late.
+_SPAN = "3650 days"
 
 
 def _event_stream(spark, d):
@@ -245,14 +280,14 @@ def _event_stream(spark, d):
 @query
 def streaming_flow_stats(spark, d):
     path = work_dir(spark, "flow")
-    jobs.flow_stream(_event_stream(spark, d), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    jobs.flow_stream(_event_stream(spark, d), f"{path}/rows", f"{path}/checkpoint", lateness=_SPAN).awaitTermination()
     return jobs.flow_table(spark, f"{path}/rows")
 
 
 @query
 def streaming_hot_words(spark, d):
     path = work_dir(spark, "hot")
-    jobs.hot_words_stream(_event_stream(spark, d), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    jobs.hot_words_stream(_event_stream(spark, d), f"{path}/rows", f"{path}/checkpoint", lateness=_SPAN).awaitTermination()
     return hotwords.top_words(hotwords.trailing(jobs._latest(spark, f"{path}/rows", jobs.PANE), AS_OF_MS, 7 * 86_400_000))
 
 

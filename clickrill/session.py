@@ -20,6 +20,11 @@ def quiet(spark: SparkSession, level: str = "WARN") -> None:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; below /tmp/checkpoints where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, a local master's below
+    /tmp/checkpoints; on a cluster that's an error, as executors wouldn't see each other's files."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/checkpoints"
     return f"{base}/{name}-{uuid.uuid4().hex}"

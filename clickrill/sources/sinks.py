@@ -13,10 +13,10 @@ from .readers import exists
 
 def write_events(events: DataFrame, path: str) -> None:
     """Append to the store: a row for each row_key, the last by time, in folders by day; a day that is written again
-    replaces itself, so reruns don't double it."""
+    replaces itself, so reruns don't double it. A large day is dealt to several tasks, by the size of what is shuffled."""
     order = F.struct(*[c for c in sorted(events.columns) if c != "row_key"])
     one = events.groupBy("row_key").agg(F.max_by(F.struct(*events.columns), order).alias("e")).select("e.*")
-    one.withColumn("day", day_of(F.col("s_time"))).repartition("day").write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    one.withColumn("day", day_of(F.col("s_time"))).hint("rebalance", "day").write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_task_result(result: DataFrame, path: str) -> None:
@@ -58,6 +58,30 @@ def delete_task(spark: SparkSession, url: str, name: str, task_id: int, properti
     return execute(spark, url, f"DELETE FROM {name} WHERE {column} = ?", [task_id], properties)
 
 
+def replace_task(result: DataFrame, url: str, name: str, task_id: int, properties: dict[str, str]) -> None:
+    """Results of a task in a table, in place of those that it has there; a table that doesn't exist is made."""
+    spark = result.sparkSession
+    if table_exists(spark, url, name, properties):
+        delete_task(spark, url, name, task_id, properties)
+    append_table(result, url, name, properties)
+
+
+def table_exists(spark: SparkSession, url: str, name: str, properties: dict[str, str]) -> bool:
+    found = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).getTableExistsQuery(name)
+    try:
+        spark.read.jdbc(url, f"({found}) probe", properties=properties)
+        return True
+    except Exception as e:  # a missing table, or a database that can't be reached
+        if "exist" in str(e).lower():
+            return False
+        raise
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class VersionedTable:
     """A Parquet table in numbered versions. A writer makes the next version from the last and never overwrites what it
     reads; a version counts once its folder has the writer's success mark, so a batch that is repeated changes nothing."""
@@ -65,6 +89,12 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
 
+    def folder(self, version: int) -> str:
+        return f"{self.path}/v={version:010d}"
+
+    def versions(self) -> list[int]:
+        return self._versions()
+
     def _versions(self) -> list[int]:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickrill.config import Config
-from clickrill.functions import parse, text, times
+from clickrill.functions import parse, sql, text, times
 
 
 def one(spark, column, *values, schema=None):
@@ -26,10 +26,10 @@ def test_int32(spark):
 
 
 def test_packed_strings(spark):
-    packed = "session_count=15|1s_3s=4|4s_6s=2|bad|a=b=c|empty=|=x|60=0"
+    packed = "session_count=73|1s_3s=31|4s_6s=8|bad|a=b=c|empty=|=x|60=5"
     get = lambda name: one(spark, text.packed_get(F.col("x"), name), packed)[0]
-    assert (get("session_count"), get("60"), get("bad"), get("a"), get("empty"), get("nothing")) == ("15", "0", None, None, None, None)
-    assert one(spark, text.packed_set(F.col("x"), "1s_3s", F.lit("9")), packed) == [packed.replace("1s_3s=4", "1s_3s=9")]
+    assert (get("session_count"), get("60"), get("bad"), get("a"), get("empty"), get("nothing")) == ("73", "5", None, None, None, None)
+    assert one(spark, text.packed_set(F.col("x"), "1s_3s", F.lit("9")), packed) == [packed.replace("1s_3s=31", "1s_3s=9")]
     assert one(spark, text.packed_set(F.col("x"), "new", F.lit("9")), packed) == [packed]
 
 
@@ -41,18 +41,18 @@ def test_group_concat(spark):
 
 
 def test_json_params(spark):
-    assert one(spark, text.json_param(F.col("x"), "aaa"), '{"id":1,"name":"xm"}', "{bad") == [None, None]
-    assert one(spark, text.json_param(F.col("x"), "name"), '{"id":1,"name":"xm"}') == ["xm"]
+    assert one(spark, text.json_param(F.col("x"), "aaa"), '{"colour":"red","size":9}', "{bad") == [None, None]
+    assert one(spark, text.json_param(F.col("x"), "colour"), '{"colour":"red","size":9}') == ["red"]
 
 
-LINE = "192.168.80.8 1492136603.400 mini1 /log.gif?en=e_pv&ver=1&pl=website"
+LINE = "203.0.113.7 1700000000.250 web3 /log.gif?en=e_pv&ver=2&pl=phone"
 
 
 def test_parse_lines(spark):
-    lines = [LINE, "", "   ", "a b c", LINE + " x", LINE.replace(" mini1", "  mini1"), LINE.replace("e_pv", "e_zz"), LINE.replace("1492136603.400", "noon"), f"  {LINE}  ", "1.2.3.4 1 h en=e_l&uid=u%20v&uid=w+x&=z&a=&&b=1=2&c=%zz&ip=9.9.9.9&s_time=4&gid=77"]
+    lines = [LINE, "", "   ", "a b c", LINE + " x", LINE.replace(" web3", "  web3"), LINE.replace("e_pv", "e_zz"), LINE.replace("1700000000.250", "noon"), f"  {LINE}  ", "1.2.3.4 1 h en=e_l&uid=u%20v&uid=w+x&=z&a=&&b=1=2&c=%zz&ip=9.9.9.9&s_time=4&gid=77"]
     got = parse.parse_lines(spark.createDataFrame([(x,) for x in lines] + [(None,)], "value string").coalesce(1)).collect()
     assert [r["reject"] for r in got] == [None, "blank", "blank", "fields", "fields", "fields", "event", "time", None, None, "blank"]
-    assert (got[0]["ip"], got[0]["s_time"], got[0]["en"], got[0]["pl"], got[0]["ver"]) == ("192.168.80.8", 1492136603400, "e_pv", "website", "1")
+    assert (got[0]["ip"], got[0]["s_time"], got[0]["en"], got[0]["pl"], got[0]["ver"]) == ("203.0.113.7", 1700000000250, "e_pv", "phone", "2")
     last = got[9]
     assert (last["ip"], last["s_time"], last["uid"], last["gid"]) == ("1.2.3.4", 1000, "w x", 77)
 
@@ -63,9 +63,9 @@ def test_url_params(spark):
 
 
 def test_page_ids(spark):
-    urls = ["http://www.shop.cn/category.php?id=683", "http://www.shop.cn/goods.php?id=287", "http://www.shop.cn/category.php?id=683&a", "category.php?id=abc", "category.php?id=99999999999", "id=4category.php", "category.php?x=1", None]
-    assert one(spark, parse.page_id(F.col("x"), parse.CATEGORY_FLAG), *urls) == [683, None, 683, None, None, None, None, None]
-    assert one(spark, parse.page_id(F.col("x"), parse.GOODS_FLAG), *urls)[:3] == [None, 287, None]
+    urls = ["http://shop.example/category.php?id=41", "http://shop.example/goods.php?id=902", "http://shop.example/category.php?id=41&a", "category.php?id=abc", "category.php?id=99999999999", "id=4category.php", "category.php?x=1", None]
+    assert one(spark, parse.page_id(F.col("x"), parse.CATEGORY_FLAG), *urls) == [41, None, 41, None, None, None, None, None]
+    assert one(spark, parse.page_id(F.col("x"), parse.GOODS_FLAG), *urls)[:3] == [None, 902, None]
 
 
 def test_keyword(spark):
@@ -79,10 +79,10 @@ def test_row_key(spark):
 
 
 def test_user_agents(spark):
-    agents = ["Mozilla/5.0 (Windows NT 10.0; WOW64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/50.0.2661.102 UBrowser/6.1.2716.5 Safari/537.36", "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_12_3) AppleWebKit/602.4.8 (KHTML, like Gecko) Version/10.0.3 Safari/602.4.8", "x", None]
+    agents = ["Mozilla/5.0 (Windows NT 10.0) Engine/1 Chrome/70.0 UBrowser/7.4.12 Safari/1", "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_12_3) AppleWebKit/602.4.8 (KHTML, like Gecko) Version/10.0.3 Safari/602.4.8", "x", None]
     columns = parse.user_agent(F.col("x"))
     got = one(spark, F.struct(*[c.alias(k) for k, c in columns.items()]), *agents)
-    assert tuple(got[0]) == ("UC Browser", "6.1.2716.5", "Windows", "Windows 10")
+    assert tuple(got[0]) == ("UC Browser", "7.4.12", "Windows", "Windows 10")
     assert tuple(got[1]) == ("Safari", "10.0.3", "OS X", "OS X 10.12.3")
     assert tuple(got[2]) == tuple(got[3]) == (None,) * 4
 
@@ -120,8 +120,20 @@ def test_times(spark):
     assert spark.range(1).select(F.datediff(F.current_date(), times.yesterday())).first()[0] == 1
 
 
+def test_sql_functions(spark):
+    sql.register(spark)
+    one_ = lambda x: spark.sql(f"SELECT {x} AS x").first()[0]
+    assert one_("concat_city_clickCount('Rom', 3)") == "Rom:3" and one_("concat_city_clickCount(NULL, 3)") == "null:3"
+    assert one_("ip_to_long('1.2.3.4')") == 16909060 and one_("ip_to_long('x')") is None
+    assert one_("packed_value('a=1|b=2|c', 'b')") == "2" and one_("packed_value('a=1|c', 'c')") is None
+    spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None)], "id int, city string").createOrReplaceTempView("cities")
+    got = {r[0]: (r[1], r[2]) for r in spark.sql("SELECT id, group_concat(collect_list(city)), group_concat_distinct(collect_list(city)) FROM cities GROUP BY id").collect()}
+    assert got == {1: ("a,a,b", "a,b"), 2: ("", "")}
+
+
 def test_config():
     c = Config.parse("# comment\nstreaming.interval = 4\njdbc.bi.url=jdbc:x\njdbc.bi.user=me\n")
+    assert Config.parse("jdbc.url=u\njdbc.driver=d").jdbc() == ("u", {"driver": "d"})
     assert c.integer("streaming.interval") == 4 and c.jdbc("bi") == ("jdbc:x", {"user": "me"})
     with pytest.raises(KeyError):
         c.text("missing")
