@@ -1,12 +1,14 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are ordered by their integer key. Boundaries come from a hash-drawn, size-weighted sample, so the same rows give
+Records are ordered by their integer key, null last, then by their payload's digest. Boundaries come from a hash-drawn,
+size-weighted sample, overfull ranges are subdivided by samples of their own, also inside one key, so the same rows give
 the same files however they were partitioned. Each range is written as one or more files, rolled when the compressed size
 would pass `roll_bytes`; every record is a gzip member of its own. Payloads are compressed before the only shuffle that
 carries them, and a payload that occurs again is a revisit record without it.
 Files are written by Spark's own file writer (any file system it knows, task commits included) below a temporary name,
-then renamed, and a manifest with each file's length and SHA-256 is renamed into place last: a reader that follows the
-manifest never sees half a run.
+then renamed to names that hold a digest of their records, so a run never replaces a file with another one. A manifest with
+each file's length and SHA-256 then takes the place of the one before, and files that it doesn't list any more go: a
+reader that follows the manifest sees one whole run or another.
 """
 
 from __future__ import annotations
@@ -18,18 +20,21 @@ import math
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import rank_in, stored
-from .sharding import MAX_RANGES, splitters
+from .sharding import ranges
 
 DATE = "2024-01-01T00:00:00Z"
 ROLL_BYTES = 32 << 20
 #: A range's payloads, before compression, in files' worth; a task sorts and writes a range or a few.
 RANGE_FILES = 16
+#: Tasks that write, at most, and renames at one time.
+TASKS, RENAMES = 50_000, 32
 #: An empty gzip member: whatever comes before it, its last byte is 0.
 _EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 
@@ -53,15 +58,16 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(key: int | None, url: str | None, digest: str, n: int, payload: bytes | None, first: int | None, date: str = DATE) -> bytes:
-    """A response record, or for payload None a revisit record that refers to the record with key `first`."""
+def page_record(key: int | None, url: str | None, digest: str, n: int, payload: bytes | None, first: int | None, date: str = DATE, first_url: str | None = None) -> bytes:
+    """A response record, or for payload None a revisit record that refers to the record with key `first` and its url."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     block = http + (payload or b"")
     headers = [("WARC-Type", "response" if payload is not None else "revisit"), ("WARC-Record-ID", _record_id(key, digest)), ("WARC-Date", date)]
     headers += [("WARC-Target-URI", _clean(url))] * (url is not None) + [("X-Record-Key", str(key))] * (key is not None)
     headers += [("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()), ("Content-Type", "application/http; msgtype=response")]
     if payload is None:
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id(first, digest)), ("X-Refers-To-Key", str(first))]
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id(first, digest)), ("WARC-Refers-To-Date", date), ("X-Refers-To-Key", str(first))]
+        headers += [("WARC-Refers-To-Target-URI", _clean(first_url))] * (first_url is not None)
     return _record(headers, block)
 
 
@@ -72,14 +78,14 @@ def _info(name: str, date: str) -> bytes:
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, urls, rids, payloads = (b.column(i).to_pylist() if i < 3 else b.column(i) for i in range(4))
+        keys, urls, payloads = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
         members, hexes = [], []
         for key, url, x in zip(keys, urls, payloads, strict=True):
             data = (x.as_py() or "").encode()
             sha = hashlib.sha1(data)
             hexes.append(sha.hexdigest())
             members.append(_gzip(page_record(key, url, base64.b32encode(sha.digest()).decode(), len(data), data, None)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(urls, pa.string()), pa.array(rids, pa.int32()), pa.array(hexes, pa.string()), pa.array([1] * len(keys), pa.int32()), pa.array([None] * len(keys), pa.int64()), pa.array([None] * len(keys), pa.int64()), pa.array(members, pa.binary())], names=["key", "url", "rid", "sha", "kind", "first", "n", "member"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(urls, pa.string()), pa.array(hexes, pa.string()), pa.array([1] * len(keys), pa.int32()), pa.array([None] * len(keys), pa.int64()), pa.array([None] * len(keys), pa.int64()), pa.array(members, pa.binary())], names=["key", "url", "sha", "kind", "first", "n", "member"])
 
 
 def _roller(prefix: str, roll_bytes: int, date: str):
@@ -88,7 +94,7 @@ def _roller(prefix: str, roll_bytes: int, date: str):
         rid, seq, parts, size, role = None, 0, [], 0, None
 
         def file() -> pa.RecordBatch:
-            name = f"{prefix}-{rid:06d}-{seq:05d}.warc.gz"
+            name = f"{prefix}-{rid:06d}-{seq:05d}-{hashlib.sha256(b''.join(parts)).hexdigest()[:16]}.warc.gz"
             data = b"".join([_gzip(_info(name, date)), *parts, _EMPTY])
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data[:-1]], pa.binary())], names=["file", "data"])
 
@@ -97,11 +103,11 @@ def _roller(prefix: str, roll_bytes: int, date: str):
             for i in range(b.num_rows):
                 key, sha, at = cols["key"][i].as_py(), cols["sha"][i].as_py(), cols["rid"][i].as_py()
                 if cols["kind"][i].as_py() == 0:
-                    role = (key, sha, cols["first"][i].as_py(), cols["n"][i].as_py())
+                    role = (key, sha, cols["first"][i].as_py(), cols["n"][i].as_py(), cols["url"][i].as_py())
                     continue
                 if role and role[:2] == (key, sha):
                     digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                    member = _gzip(page_record(key, cols["url"][i].as_py(), digest, role[3], None, role[2], date))
+                    member = _gzip(page_record(key, cols["url"][i].as_py(), digest, role[3], None, role[2], date, role[4]))
                 else:
                     member = cols["member"][i].as_py()
                 if parts and (at != rid or size + len(member) > roll_bytes):
@@ -117,7 +123,7 @@ def _roller(prefix: str, roll_bytes: int, date: str):
 
 
 def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", payload: str = "html", prefix: str = "part", roll_bytes: int = ROLL_BYTES, min_revisit: int = 0, date: str = DATE) -> None:
-    """Write a record for each row of pages to <out>/<prefix>-<range>-<n>.warc.gz and <out>/manifest.json.
+    """Write a record for each row of pages to <out>/<prefix>-<range>-<n>-<digest>.warc.gz and <out>/manifest.json.
 
     Of rows with equal payloads of at least min_revisit bytes, those with the smallest key are responses, the others
     revisits (rows that repeat the smallest key too are all responses). Null payload: empty; null url: no target header;
@@ -126,17 +132,20 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", pa
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(key).cast("bigint").alias("key"), F.col(url).alias("url"), F.coalesce(payload, F.lit("")).alias("payload"))
-    narrow = stored(rows.select("key", F.sha1(F.col("payload").cast("binary")).alias("sha"), F.octet_length("payload").cast("bigint").alias("n")), "warc-keys")
+    sha = F.sha1(F.col("payload").cast("binary"))
+    narrow = stored(rows.select("key", "url", sha.alias("sha"), F.octet_length("payload").cast("bigint").alias("n")), "warc-keys")
     total = narrow.agg(F.sum(F.col("n") + 512)).first()[0] or 0
-    n_ranges = min(MAX_RANGES, max(1, math.ceil(total / (RANGE_FILES * roll_bytes)), min(32, math.ceil(total / (1 << 20)))))
-    cuts = splitters(narrow.withColumn("w", F.col("n") + 512), "key", "w", float(total), n_ranges)
-    firsts = narrow.where(F.col("n") >= min_revisit).groupBy("sha", "n").agg(F.min("key").alias("first"), F.count("*").alias("c")).where("c > 1")
-    roles = narrow.join(firsts.drop("c"), ["sha", "n"]).where("key > first OR (key IS NULL AND first IS NOT NULL)").distinct()
-    rid = rank_in(cuts, F.col("key"))
-    record = "key bigint, url string, rid int, sha string, kind int, first bigint, n bigint, member binary"
-    members = rows.select("key", "url", rid.alias("rid"), "payload").mapInArrow(_compress, record)
-    roles = roles.select("key", F.lit(None).cast("string").alias("url"), rid.alias("rid"), "sha", F.lit(0).alias("kind"), "first", "n", F.lit(None).cast("binary").alias("member"))
-    ranged = members.unionByName(roles).repartition(n_ranges, "rid").sortWithinPartitions("rid", F.col("key").asc_nulls_last(), "sha", "kind", "url")
+    n_ranges = max(1, math.ceil(total / (RANGE_FILES * roll_bytes)), min(32, math.ceil(total / (1 << 20))))
+    order = F.struct(F.col("key").isNull().cast("int").alias("none"), F.coalesce("key", F.lit(0)).alias("key"), F.conv(F.substring("sha", 1, 15), 16, 10).cast("bigint").alias("sha")).alias("o")
+    cuts = ranges(narrow.select(order, (F.col("n") + 512).alias("w")), "o", "w", float(total), n_ranges)
+    least = F.min(F.when(F.col("key").isNotNull(), F.struct("key", "url")))
+    firsts = narrow.where(F.col("n") >= min_revisit).groupBy("sha", "n").agg(least.alias("f"), F.count("*").alias("c")).where("c > 1").select("sha", "n", F.col("f.key").alias("first"), F.col("f.url").alias("first_url"))
+    roles = narrow.select("key", "sha", "n").join(firsts, ["sha", "n"]).where("key > first OR (key IS NULL AND first IS NOT NULL)").distinct()
+    rid = lambda df: df.withColumn("rid", rank_in([tuple(c) for c in cuts], order, "struct<none:int,key:bigint,sha:bigint>"))
+    record = "key bigint, url string, sha string, kind int, first bigint, n bigint, member binary"
+    members = rows.select("key", "url", "payload").mapInArrow(_compress, record)
+    roles = roles.select("key", F.col("first_url").alias("url"), "sha", F.lit(0).alias("kind"), "first", "n", F.lit(None).cast("binary").alias("member"))
+    ranged = rid(members.unionByName(roles)).repartition(min(len(cuts) + 1, TASKS), "rid").sortWithinPartitions("rid", F.col("key").asc_nulls_last(), "sha", "kind", "url")
     files = ranged.mapInArrow(_roller(prefix, roll_bytes, date), "file string, data binary")
     tmp = f"{out}/_temporary-{uuid.uuid4().hex}"
     files.select("file", F.col("data").cast("string").alias("data")).write.option("lineSep", "\x00").partitionBy("file").text(f"{tmp}/files")
@@ -144,26 +153,39 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", pa
 
 
 def _commit(spark: SparkSession, out: str, tmp: str) -> None:
-    """Move the files to their names, then the manifest; a rerun replaces what was there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    """Move the files to their names, then the manifest, and drop the files that only the one before has."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    path = hadoop.Path
+    fs = path(out).getFileSystem(conf)
     listed = []
     if any(s.getPath().getName().startswith("file=") for s in fs.listStatus(path(f"{tmp}/files"))):
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{tmp}/files")
         listed = sorted(map(tuple, found.select(F.regexp_extract("path", "/file=([^/]+)/", 1), "length", F.sha2("content", 256), "path").collect()))  # a row for each file
-    fs.delete(path(f"{out}/manifest.json"), False)
-    for name, _, _, at in listed:
-        fs.delete(path(f"{out}/{name}"), False)
-        if not fs.rename(path(at), path(f"{out}/{name}")):
-            raise OSError(f"{at} couldn't be renamed to {name}")
+
+    def move(file: tuple) -> None:
+        name, at = path(f"{out}/{file[0]}"), path(file[3])
+        if not fs.exists(name) and not fs.rename(at, name):  # a file of that name has the same records
+            raise OSError(f"{file[3]} couldn't be renamed to {file[0]}")
+
+    with ThreadPoolExecutor(RENAMES) as pool:
+        list(pool.map(move, listed))
+    manifest = path(f"{out}/manifest.json")
+    before = _manifest(spark, out) if fs.exists(manifest) else []
     stream = fs.create(path(f"{tmp}/manifest.json"), True)
     stream.write("".join(json.dumps({"file": n, "length": size, "sha256": sha}) + "\n" for n, size, sha, _ in listed).encode())
     stream.close()
-    if not fs.rename(path(f"{tmp}/manifest.json"), path(f"{out}/manifest.json")):
-        raise OSError("the manifest couldn't be renamed")
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.makeQualified(manifest).toUri(), conf).rename(fs.makeQualified(path(f"{tmp}/manifest.json")), fs.makeQualified(manifest), overwrite)
+    for name in set(before) - {x[0] for x in listed}:
+        fs.delete(path(f"{out}/{name}"), False)
     fs.delete(path(tmp), True)
 
 
+def _manifest(spark: SparkSession, out: str) -> list[str]:
+    return [r[0] for r in spark.read.schema("file string").json(f"{out}/manifest.json").collect()]  # a row for each file
+
+
 def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
 
@@ -217,7 +239,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, out: str) -> DataFrame:
     """The records of the files in the manifest: key, url, payload_bytes, payload_digest, record_type, refers_to, payload
     (null for revisits). A record whose length or digest is wrong raises."""
-    listed = [r[0] for r in spark.read.schema("file string").json(f"{out}/manifest.json").collect()]  # a row for each file
+    listed = _manifest(spark, out)
     schema = "key bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
     if not listed:
         return spark.createDataFrame([], schema)

@@ -134,6 +134,42 @@ def test_warc_is_deterministic(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/a").collect() == []
 
 
+def test_warc_reruns_replace_whole_runs(spark, tmp_path):
+    """Another run's manifest takes the place of the first one's, files that only that has go, those of both stay."""
+    out = f"file://{tmp_path}/a"
+    df = pages(spark)
+    warc.write(df, out, roll_bytes=3000)
+    first = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "a").glob("*.warc.gz")}
+    warc.write(df, out, roll_bytes=3000)
+    assert {f.name: f.stat().st_mtime_ns for f in (tmp_path / "a").glob("*.warc.gz")} == first
+    warc.write(df.where("page_id < 20"), out, roll_bytes=3000)
+    assert {f.name for f in (tmp_path / "a").glob("*.warc.gz")} == set(warc._manifest(spark, out))
+    assert sorted(r["key"] for r in warc.read(spark, out).collect()) == list(range(20))
+
+
+@pytest.mark.parametrize("key", [5, None])
+def test_warc_of_one_key(spark, tmp_path, monkeypatch, key):
+    """Ranges are subdivided inside a key, or among records without one."""
+    monkeypatch.setattr(sharding, "MAX_RANGES", 3)
+    df = spark.createDataFrame([(key, f"u{i}", f"payload {i} " * 300) for i in range(200)] + [(9, "u", "x")], "page_id bigint, url string, html string")
+    warc.write(df, f"file://{tmp_path}/a", roll_bytes=2000)
+    assert len({f.name.split("-")[1] for f in (tmp_path / "a").glob("*.warc.gz")}) > 8
+    got = warc.read(spark, f"file://{tmp_path}/a").collect()
+    assert len(got) == 201 and {r["payload"] for r in got if r["key"] == key} == {(f"payload {i} " * 300).encode() for i in range(200)}
+
+
+def test_warc_revisits_name_their_originals(spark, tmp_path):
+    """Another reader finds the response by the standard fields."""
+    df = spark.createDataFrame([(7, "http://b", "same"), (5, "http://a", "same"), (None, "http://c", "same")], "page_id bigint, url string, html string")
+    warc.write(df, f"file://{tmp_path}/a")
+    found = [f for file in (tmp_path / "a").glob("*.warc.gz") for f, _ in warc.parse(file.read_bytes())]
+    response = next(f for f in found if f["warc-type"] == "response")
+    revisits = [f for f in found if f["warc-type"] == "revisit"]
+    assert len(revisits) == 2 and response["warc-target-uri"] == "http://a"
+    for f in revisits:
+        assert (f["warc-refers-to"], f["warc-refers-to-target-uri"], f["warc-refers-to-date"]) == (response["warc-record-id"], "http://a", response["warc-date"])
+
+
 def test_warc_odd_rows(spark, tmp_path):
     """Null keys, a key that occurs twice, repeated rows; short payloads are responses with min_revisit."""
     df = spark.createDataFrame([(None, "a", "xyz", "", "", ""), (5, "a", "xyz", "", "", ""), (5, "a", "xyz", "", "", ""), (5, "b", "other", "", "", ""), (7, "a", "xyz", "", "", ""), (8, "a", "q", "", "", ""), (9, "a", "q", "", "", ""), (None, "n", "alone", "", "", "")], PAGES)
