@@ -2,7 +2,7 @@
 
 1. A softmax classifier over the labelled table: hashed words and a few shape marks of a text give the posterior of each
    domain. Every word counts; features are scaled by the log ratio of their shares inside and outside a domain. Only
-   the fit is bounded, to TRAIN_DOCS labelled documents drawn by a hash of the id, and the model to FEATURES buckets.
+   the fit is bounded, to TRAIN_DOCS labelled documents drawn by a hash of the id, and the model to BUCKETS of words.
 2. Projected-gradient least squares: rates r >= floor of the documents, starting at 1, such that each domain's expected
    tokens, sum of r * tokens * posterior, meet their targets. A step is r = max(floor, r - posterior . g), with tokens as the
    metric of the rates. First g is the residual preconditioned by the D x D moment matrix of the documents that are not at the
@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from .common import quoted, stored, unused
 
 TRAIN_DOCS = 8000
-#: Buckets of the hashed words.
-FEATURES = 1 << 16
+#: Buckets of the hashed words, and marks of a text's shape with three levels each.
+BUCKETS, MARKS = 1 << 16, 4
+FEATURES = BUCKETS + 3 * MARKS
+#: Weights are whole numbers of these, so that two sums of them fit into one number of 64 bits.
+UNIT = 1e-3
 #: Preconditioned steps, and accelerated ones after them where targets can't be met, at most.
 STEPS, MORE_STEPS = 60, 200
 TOLERANCE = 1e-6
@@ -37,13 +40,13 @@ def _words(text: Column) -> Column:
 
 
 def _marks(text: Column) -> Column:
-    """Marks of a text's shape: shares of capitals, of symbols and of digits, shortness."""
+    """The features that mark a text's shape: levels of the shares of capitals, of symbols and of digits, and of shortness."""
     text = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(text), F.lit(1))
     share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / n
-    digits = (F.length(text) - F.length(F.translate(text, "0123456789", ""))) / n
-    mark = lambda name, x, low, high: F.when(x >= high, f"#{name}1").when(x >= low, f"#{name}0").otherwise(f"#{name}")
-    return F.array(mark("upper", share(r"[A-ZÀ-Þ]"), 0.1, 0.4), mark("symbol", share(r"[#$%&*|!]"), 0.02, 0.1), mark("digit", digits, 0.1, 0.4), mark("short", -n, -40, -10))
+    level = lambda x, low, high: (x >= low).cast("int") + (x >= high).cast("int")
+    levels = [level(share(r"[A-ZÀ-Þ]"), 0.1, 0.4), level(share(r"[#$%&*|!]"), 0.02, 0.1), level(share("[0-9]"), 0.1, 0.4), level(-n, -40, -10)]
+    return F.array(*[x + F.lit(BUCKETS + 3 * i) for i, x in enumerate(levels)])
 
 
 def n_words(words: Column) -> Column:
@@ -51,8 +54,8 @@ def n_words(words: Column) -> Column:
 
 
 def _features(words: Column, marks: Column) -> Column:
-    """The distinct buckets of a text's words and marks."""
-    return F.array_distinct(F.transform(F.concat(words, marks), lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES)).cast("int")))
+    """The distinct buckets of a text's words, and its marks."""
+    return F.concat(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))), marks)
 
 
 class Classifier:
@@ -62,15 +65,18 @@ class Classifier:
         self.domains, self.prior, self.weights = domains, prior, weights
 
     def scores(self, features: Column) -> list[Column]:
-        """The score of each domain, less that of the first."""
-        out = [F.lit(0.0)]
-        for d in range(1, len(self.domains)):
-            start = F.lit(float(self.prior[d] - self.prior[0]))
-            if self.weights is None:
-                out.append(start)
-                continue
-            own = F.from_json(F.lit(json.dumps([round(float(x), 6) for x in self.weights[:, d] - self.weights[:, 0]])), "array<double>")
-            out.append(F.aggregate(features, start, lambda acc, i: acc + F.get(own, i)))
+        """The score of each domain, less that of the first. Two domains share a sum: one in its upper, one in its lower half."""
+        out, rest = [F.lit(0.0)], [self.prior[d] - self.prior[0] for d in range(1, len(self.domains))]
+        if self.weights is None:
+            return out + [F.lit(float(x)) for x in rest]
+        whole = np.clip(np.rint((self.weights[:, 1:] - self.weights[:, :1]) / UNIT), -30_000, 30_000).astype(np.int64)
+        for d in range(0, whole.shape[1], 2):
+            pair = whole[:, d : d + 2]
+            packed = (pair[:, 1] << 32) + pair[:, 0] if pair.shape[1] == 2 else pair[:, 0]
+            table = F.from_json(F.lit(json.dumps(packed.tolist())), "array<bigint>")
+            total = F.aggregate(features, F.lit(0).cast("bigint"), lambda acc, i: acc + F.get(table, i))
+            low = F.shiftright(F.shiftleft(total, 32), 32)
+            out += [x * UNIT + float(p) for x, p in zip((low, F.shiftright(total - low, 32)), rest[d : d + 2], strict=False)]
         return out
 
 
@@ -202,7 +208,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0,
             momentum = k / (k + 3)
             if len(steps.all) - steps.since >= FOLDED:
                 r, q = steps.point(written)
-                table = stored(table.select("n_tokens", *p, r.alias("r"), q.alias("q")), "rates")
+                table = stored(table.select("n_tokens", *p, r.alias("r"), q.alias("q")), "rates", instead=table if written else None)
                 steps.since, written = len(steps.all), True
             y = reached + momentum * (reached - last)  # what is reached is linear in the rates
             steps.all.append([*((y - want) / lipschitz).tolist(), momentum])
