@@ -4,27 +4,59 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of our own, which is then set."""
+    """The folder in spark.checkpoint.dir. Where that is unset and the master is local (tests), one of our own, which is
+    then set; on a cluster that's an error, as executors and driver wouldn't see each other's files."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
         sc.setCheckpointDir(found)
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder in the shared one for all that is stored inside the `with`; it is removed at its end, so what is wanted of
+    the results must be written by then."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(path)
+    try:
+        yield path
+    finally:
+        _scratch.reset(token)
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stored(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors.
+    instead: a stored table that nobody reads any more, which is removed."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    if instead is not None:
+        remove(spark, instead._stored_at)
+    return out
 
 
 #: Rows of numbers that may be sent to every task.

@@ -25,18 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, stored
+from .common import remove, spread_join, stored
 from .tokens import SPACED_LOWER, Words, chunks, mix
 
 SKETCH = 32
 LISTED = 8
 #: Classes in a cell, and values of their sets, at most (but one set is never cut).
-CELL = 512
+CELL = 256
 CELL_VALUES = 4 << 20
+#: Pairs whose sketches are compared at once.
+PAIRS = 8192
 #: Chance that the sketches let a pair at the threshold go.
 MISS = 1e-7
-#: Rows of one node or list in one task, from which on they are spread.
-HUB = 1_000_000
+#: Edges of one node in one task, from which on they are spread.
+HUB = 1_000
 
 
 def least_shared(percent: int) -> int:
@@ -146,8 +148,8 @@ def _flagger(num: int):
 
     def flags(m, n, v, p, q) -> np.ndarray:
         hit = np.zeros(len(n), bool)
-        for s in range(0, len(p), 50_000):
-            a, b = p[s : s + 50_000], q[s : s + 50_000]
+        for s in range(0, len(p), PAIRS):
+            a, b = p[s : s + PAIRS], q[s : s + PAIRS]
             ok = near(n, a, b)
             a, b = a[ok], b[ok]
             est, least = estimate(m[a], m[b])
@@ -175,7 +177,7 @@ def _flagger(num: int):
             elif len(d["g"]) > 1:
                 todo.append(d)
                 pairs += len(d["g"]) ** 2 // 2
-                if pairs > 50_000:
+                if pairs > PAIRS:
                     yield from flush(todo)
                     todo, pairs = [], 0
         yield from flush(todo)
@@ -288,7 +290,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = stored(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = met(large, least, n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+        now = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges", instead=now)
+        remove(large.sparkSession, large._stored_at)
 
 
 def link(df: DataFrame, length: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -388,7 +388,7 @@ def ladder(df: DataFrame, length: int = WORDS, id_col: str = "doc_id", text_col:
     rungs = []
     while True:
         often = names.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-        kept = stored(names.join(often, "name"), "rung")
+        kept = stored(names.join(often, "name"), "rung", instead=names if not rungs else None)
         if kept.isEmpty() and rungs:
             break
         rungs.append(kept.select("id", F.col("pos").alias("start"), F.lit(length).alias("length")))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickrill.llm import decontaminate, mixing, neardup, quality, sharding
-from clickrill.llm.common import read, renamed, shared_dir, stored, unused
+from clickrill.llm.common import read, remove, renamed, scratch, shared_dir, stored, unused
 
 #: Shares of expected tokens among what is left after the filters. Toxic documents are thinned out to theirs.
 WEIGHTS = {"clean": 0.95, "toxic": 0.05}
@@ -142,9 +142,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """The last stage's documents. What the stages store on the way goes when they are done, and so does the output of each
+    but the last."""
+    docs, folder = read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if i:
+            remove(spark, f"{folder}/{STAGES[i - 1][0]}")
     return docs

@@ -17,6 +17,32 @@ from conftest import SCHEMA, rows, texts
 from clickrill.llm import common, extract, hamming, mixing, quality, registry, sharding, warc
 
 
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
+
+
+def test_scratch_goes_when_done(spark):
+    with common.scratch(spark) as path:
+        a = common.stored(spark.range(3), "a")
+        b = common.stored(a, "b", instead=a)
+        assert b.count() == 3 and [p.name.split("-")[0] for p in Path(path.removeprefix("file:")).iterdir()] == ["b"]
+    assert not Path(path.removeprefix("file:")).exists()
+    assert "scratch" not in common.stored(spark.range(1), "c")._stored_at
+
+
 def shards_of(df, n=8):
     out = sharding.shard(df, n)
     assert out.columns == [c for c in df.columns if c not in ("shard", "slot", "size")] + ["size", "shard", "slot"]
