@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import licenses
+
 OP1 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS pos, ws FROM w WHERE len(ws) >= 20),
@@ -58,6 +60,14 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance,
 SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
 """
 
+#: The text of the only article element of each given page, by its markup: blocks p and h1, markup b and br.
+OP8 = r"""
+WITH a AS (SELECT page_id, url, replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g'), '<br>', ' ') AS x FROM pages),
+b AS (SELECT page_id, url, regexp_split_to_array(x, '</?(?:p|h1)>') AS parts FROM a),
+c AS (SELECT page_id, url, list_filter(list_transform(parts, lambda s: trim(regexp_replace(regexp_replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda s: s <> '') AS blocks FROM b)
+SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10) || chr(10))) AS BIGINT) AS n_chars FROM c
+"""
+
 #: CRC-32 of each text t of s, a byte at a time over the table of remainders.
 CRC = r"""
 remainders AS (SELECT list(r ORDER BY i) AS r FROM (SELECT i, list_reduce(range(8), lambda x, j: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, i) AS r FROM range(256) u(i))),
@@ -74,4 +84,34 @@ SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, CAST(row_number()
 FROM s JOIN crcs USING (t)
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op3_warc": OP3, "op6_exact_topk": OP6, "op7_decontaminate": OP7, "op9_near_duplicates": OP9, "op10_sharding": OP10}
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _spread(rx: str) -> str:
+    """A rule's expression for texts with two spaces between words, each match with a space on either side."""
+    return " (?:" + rx.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?") + ") "
+
+
+def _licenses() -> str:
+    """Every rule's places in the texts that hold a root; what lies in another place of the same or a higher priority goes."""
+    rules = ",\n".join(f"({i}, {_quoted(label)}, {priority}, {_quoted('(' + _spread(rx) + ')')})" for i, (label, priority, _, rx) in enumerate(licenses.RULES))
+    scores = " ".join(f"WHEN {p} THEN {c}" for p, c in licenses.CONFIDENCE.items())
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+j AS (SELECT doc_id, ' ' || array_to_string(ws, '  ') || ' ' AS t FROM w WHERE regexp_matches(' ' || array_to_string(ws, ' ') || ' ', {_quoted("|".join(licenses.ROOTS))})),
+r(rule, label, priority, rx) AS (VALUES {rules}),
+m AS (SELECT doc_id, rule, label, priority, string_split(regexp_replace(t, rx, chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM j, r),
+p AS (SELECT doc_id, rule, label, priority, parts, unnest(range(2, len(parts) + 1)) AS i FROM m WHERE len(parts) > 1),
+f AS (SELECT doc_id, rule, label, priority, len(list_filter(string_split(replace(array_to_string(parts[1 : i - 1], ''), chr(2), ''), ' '), lambda x: x <> '')) AS a, len(list_filter(string_split(split_part(parts[i], chr(2), 1), ' '), lambda x: x <> '')) AS n FROM p),
+k AS (SELECT * FROM f x WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.doc_id = x.doc_id AND y.a <= x.a AND x.a + x.n <= y.a + y.n AND y.priority >= x.priority AND (y.a <> x.a OR y.n <> x.n OR y.priority <> x.priority OR y.rule < x.rule))),
+b AS (SELECT doc_id, count(*) AS n_base, min(a) AS first_word, max(a) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM f WHERE rule < {len(licenses.BASE)} GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM k UNION SELECT doc_id, label FROM f WHERE rule < {len(licenses.BASE)}) GROUP BY doc_id),
+s AS (SELECT doc_id, max(priority) AS best FROM k GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(CASE coalesce(best, 0) {scores} END AS DOUBLE) AS score
+FROM w LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
+ORACLES = {"op1_substring_dedup": OP1, "op3_warc": OP3, "op5_licenses": _licenses(), "op6_exact_topk": OP6, "op7_decontaminate": OP7, "op8_main_text": OP8, "op9_near_duplicates": OP9, "op10_sharding": OP10}
