@@ -4,14 +4,14 @@ For every DOM node: characters per tag, adjusted by the share of its characters
 sum is that of its children's densities (markup inside a paragraph counts as part of it, and a paragraph's sum is its own
 density). The node with the largest sum is the core. The smallest density on the path from it to the body is the threshold:
 from a core that holds no paragraphs itself the search goes down again, as long as one child that holds blocks reaches
-the core's own density; and up again, to the article element about it or to the parent of several parts of one kind that
-all reach the threshold. That subtree is the article; menus, headers, footers, sidebars, notices and adverts
+the core's own density; and up again, to the article element about it, to the parent of several parts of one kind that
+all reach the threshold, or to that of nothing but headings besides. That subtree is the article; menus, headers, footers, sidebars, notices and adverts
 beside it are left out because density doesn't choose them, whatever their names.
 
 Only elements whose text is never shown as text (scripts, styles, form controls ...) are left out beforehand. Lists of tag
 and class names serve inside the chosen subtree alone, for what an article's own element may hold besides (reader comments,
 sharing, adverts between paragraphs), and keep an element so named from being the core. Where no element but the
-body holds the text, class names aren't used at all. Nodes are kept in document order, so nothing here recurses,
+body holds the text, class names aren't used at all, and blocks without blocks beside its paragraphs are none of them. Nodes are kept in document order, so nothing here recurses,
 however deep a page nests.
 """
 
@@ -34,6 +34,7 @@ NEVER = frozenset("script style noscript template head title button select texta
 ASIDE = frozenset("nav footer aside form menu dialog".split())
 #: What text stands in.
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
+HEADING = frozenset("h1 h2 h3 hgroup header".split())
 #: Words of a class, id or role that mark an element inside the article's as no part of it.
 BOILERPLATE = frozenset("ad ads adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert newsletter subscribe subscription sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead respond reply replies disqus share sharing social related recommended popup modal overlay toolbar pagination pager login signup search skip complementary contentinfo toc disclaimer outbrain taboola".split())
 _STARTS = ("advert", "comment", "adsby", "sidebar", "navigation", "cookie", "newsletter")
@@ -198,9 +199,11 @@ def _select(page: _Page, d: _Density, marked: list[bool]) -> int:
     for i in path:
         if tag[i] in ("article", "main"):
             return i
-    while core != body and parent[core] > 0:
-        parts = [i for i in children[parent[core]] if page.kind[i] == page.kind[core] and d.density[i] >= threshold and not marked[i]]
-        if tag[core] in PARAGRAPH or len(parts) < 2:
+    while core != body and parent[core] > 0 and tag[core] not in PARAGRAPH and tag[core] not in ("td", "th"):
+        mates = [i for i in children[parent[core]] if i != core and not marked[i]]
+        parts = any(page.kind[i] == page.kind[core] and d.density[i] >= threshold for i in mates)
+        titled = parent[core] != body and mates and all(tag[i] in HEADING for i in mates)
+        if not (parts or titled):
             break
         core = parent[core]
     return core
@@ -239,12 +242,15 @@ def _dropped(page: _Page, d: _Density, root: int) -> list[bool]:
     for i in range(n - 1, 0, -1):
         words[parent[i]] += words[i]
         holds[parent[i]] = holds[parent[i]] or holds[i]
+    # the body's own paragraphs, and boxes beside them
+    bare = not named and any(parent[i] == root and tag[i] == "p" and d.chars[i] for i in range(1, n))
+    boxes = {i for i in range(1, n) if parent[i] == root and tag[i] not in INLINE and tag[i] not in PARAGRAPH} - {parent[i] for i in range(1, n) if tag[i] not in INLINE}
     out = sure
     for i in range(1, n):
         menu = inside[i] and d.links[i] > 0.6 * d.chars[i] and d.link_tags[i] >= 3
         header = inside[i] and tag[i] == "header" and not named and not holds[i]
         by_class = named and inside[i] and page.mark[i] in (PERHAPS, LIKELY) and not holds[i] and (page.mark[i] == LIKELY or 2 * words[i] <= words[root])
-        out[i] = sure[i] or out[parent[i]] or menu or header or by_class
+        out[i] = sure[i] or out[parent[i]] or menu or header or by_class or (bare and parent[i] == root and i in boxes)
     return out
 
 

@@ -367,6 +367,12 @@ LONG = [" ".join(f"word{i}x{k}" for k in range(25)) + "." for i in range(6)]
 @pytest.mark.parametrize(("page", "blocks"), [
     # parts of one kind belong together; a box of another kind doesn't
     (f"<body><div class=menu><a href=1>One</a><a href=2>Two</a><a href=3>Three</a></div><div class=t><section><p>{LONG[0]}</p><p>{LONG[1]}</p></section><section><p>{LONG[2]}</p><p>{LONG[3]}</p></section></div><div class=x>Side words</div></body>", LONG[:4]),
+    # a title beside the container, and a sidebar
+    (f"<body><div id=top><a href=/>Site</a></div><div id=content><h1>Head line</h1><div class=post-body><p>{LONG[0]}</p><p>{LONG[1]}</p></div></div><div id=side><h3>More</h3><p>few words</p><p>few too</p></div></body>", ["Head line", *LONG[:2]]),
+    # cells of a table as columns
+    (f"<body><table><tr><td><a href=1>One</a> <a href=2>Two</a></td><td><h1>Head line</h1><p>{LONG[0]}</p><p>{LONG[1]}</p></td><td><p>few words</p></td></tr></table></body>", ["Head line", *LONG[:2]]),
+    # an advert beside paragraphs in the body
+    (f"<body><div class=ad>Buy this now</div><h1>Head line</h1><p>{LONG[0]}</p><p>{LONG[1]}</p><footer>(c) me</footer></body>", ["Head line", *LONG[:2]]),
     # no container: paragraphs stand in the body
     (f"<body><nav><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></nav><h1>Head line</h1><p>{LONG[0]}</p><p>{LONG[1]}</p><footer>(c) me</footer></body>", ["Head line", *LONG[:2]]),
     # reader comments in articles of their own, more of them than text
