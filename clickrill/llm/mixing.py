@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import quoted, stored, unused
 
-TRAIN_DOCS = 8000
+TRAIN_DOCS = 4000
 #: Buckets of the hashed words, and marks of a text's shape with three levels each.
 BUCKETS, MARKS = 1 << 16, 4
 FEATURES = BUCKETS + 3 * MARKS
@@ -94,7 +94,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
     return Classifier(domains, prior.tolist(), weights)
 
 
-def _softmax_fit(x: list[np.ndarray], y: np.ndarray, n_domains: int, steps: int = 150, rate: float = 0.05, ridge: float = 3e-3) -> tuple[np.ndarray, np.ndarray]:
+def _softmax_fit(x: list[np.ndarray], y: np.ndarray, n_domains: int, steps: int = 100, rate: float = 0.05, ridge: float = 3e-3) -> tuple[np.ndarray, np.ndarray]:
     """(prior, weights) of a regularized softmax regression over binary features scaled by their log ratios, by Adam on the
     whole sample. x: the features of each document; only those that occur have weights."""
     size = np.array([len(r) for r in x])
@@ -103,13 +103,14 @@ def _softmax_fit(x: list[np.ndarray], y: np.ndarray, n_domains: int, steps: int
     flat, row = np.r_[flat, np.full(len(x), len(seen))], np.r_[row, np.arange(len(x))]  # the constant
     by_row, by_feature = np.argsort(row, kind="stable"), np.argsort(flat, kind="stable")
     row_cuts, feature_cuts = np.r_[0, np.cumsum(size + 1)[:-1]], np.searchsorted(flat[by_feature], np.arange(len(seen) + 1))
-    wanted = np.eye(n_domains)[y]
+    wanted = np.eye(n_domains, dtype=np.float32)[y]
     docs = wanted.sum(0)
     inside = np.add.reduceat(wanted[row[by_feature]], feature_cuts)
     outside = inside.sum(1, keepdims=True) - inside
     scale = np.log((inside + 1) / (docs + 2)) - np.log((outside + 1) / (docs.sum() - docs + 2))
     scale[-1] = 1.0
-    w, m1, m2 = (np.zeros(scale.shape) for _ in range(3))
+    scale = scale.astype(np.float32)
+    w, m1, m2 = (np.zeros(scale.shape, np.float32) for _ in range(3))
     for step in range(1, steps + 1):
         z = np.add.reduceat((w * scale)[flat[by_row]], row_cuts)
         p = np.exp(z - z.max(1, keepdims=True))
