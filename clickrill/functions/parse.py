@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import EVENTS
+from ..schema import EVENTS, REQUEST_KEYS
 from .text import as_int32, is_blank
 
 #: Marks of category, goods and search pages in urls.
@@ -85,7 +85,7 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     fields = F.split(F.trim(F.col(value)), " ")
     x = lines.select(F.col(value).alias("line"), F.when(F.size(fields) == 4, fields).alias("f"))
     x = x.select("line", F.get("f", F.lit(0)).alias("ip"), server_time(F.get("f", F.lit(1))).alias("s_time"), F.when(F.col("f").isNotNull(), url_entries(F.get("f", F.lit(3)))).alias("p"), F.col("f").isNull().alias("broken"))
-    keys = ["en", "uid", "sid", "mid", "pl", "ver", "b_usa", "url", "tt", "gid"]
+    keys = [*REQUEST_KEYS, "gid"]
     x = x.select("line", "ip", "s_time", "broken", *[entry(F.col("p"), k).alias(k) for k in keys])
     # through a generator, so that filters on what follows aren't pushed below it and each key is looked up once
     x = x.select(F.inline(F.array(F.struct(*x.columns))))

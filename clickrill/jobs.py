@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .config import Config
 from .functions.parse import parse_lines
 from .operators import areas, categories, geo, sessions
-from .schema import TASK
+from .schema import AREA_TOP3, EVENT_LOG, SESSION_STAT, TASK, TOP5_CATEGORY, as_layout
 from .session import quiet, session
 from .sources import readers, sinks
 from .streaming import jobs as streams
@@ -29,6 +29,7 @@ from .streaming import jobs as streams
 
 #: Tables of a --config database: of each batch job's results, and of the streams'.
 TABLES = {"sessions": "session_aggr_stat", "categories": "top5_category", "areas": "area_top3_product", "flow": "stats_location_flow", "hotwords": "search_hot_keyword"}
+LAYOUTS = {"sessions": SESSION_STAT, "categories": TOP5_CATEGORY, "areas": AREA_TOP3}
 
 
 def run_date(text: str) -> dt.date:
@@ -111,7 +112,7 @@ def run_stream(args: argparse.Namespace, spark: SparkSession) -> None:
 
 def run(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.job == "etl":
-        sinks.write_events(parsed_events(readers.log_lines(spark, args.logs, args.date), readers.ip_rules(spark, args.rules)), args.store)
+        sinks.write_events(as_layout(parsed_events(readers.log_lines(spark, args.logs, args.date), readers.ip_rules(spark, args.rules)), EVENT_LOG), args.store)
         return
     if args.job in ("flow", "hotwords", "words", "console"):
         run_stream(args, spark)
@@ -126,6 +127,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
     else:
         goods = spark.read.parquet(args.goods) if args.goods else readers.table(spark, database[0], "ecs_goods", database[1], "goods_id")
         result = (categories.top_categories if args.job == "categories" else areas.area_top)(events, goods, args.task)
+    result = as_layout(result, LAYOUTS[args.job])
     if args.out:
         sinks.write_task_result(result, args.out)
     else:

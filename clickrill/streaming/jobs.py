@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import GRAINS, day_of
 from ..operators import flow, hotwords, tables
-from ..schema import DATE_DIMENSION, HOT_KEYWORD, LOCATION_DIMENSION, LOCATION_FLOW
+from ..schema import DATE_DIMENSION, HOT_KEYWORD, LOCATION_DIMENSION, LOCATION_FLOW, as_layout
 from ..sources.readers import exists
 from ..sources.sinks import VersionedTable, remove
 
@@ -52,9 +52,17 @@ def _folded(spark: SparkSession, path: str, schema: str | None = None) -> Versio
     return VersionedTable(spark, f"{path}-folded", schema or "batch int")
 
 
+def _written(spark: SparkSession, path: str) -> list[str]:
+    """The folders of batches that are written to their ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return [f"{path}/{n}" for n in sorted(names) if n.startswith("batch=") and exists(spark, f"{path}/{n}/_SUCCESS")]
+
+
 def _latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The last row of each key."""
-    changes, folded = spark.read.option("basePath", path).parquet(path), _folded(spark, path)
+    """The last row of each key, over the batches that are done."""
+    changes, folded = spark.read.option("basePath", path).parquet(*_written(spark, path)), _folded(spark, path)
     values = [c for c in changes.columns if c not in [*keys, "batch"]]
     if versions := folded.versions():
         base = spark.read.parquet(folded.folder(versions[-1])).withColumn("batch", F.lit(versions[-1]))
@@ -107,20 +115,16 @@ def hot_words_table(spark: SparkSession, path: str, as_of_ms: int, k: int = 3) -
 
 
 def word_count_stream(lines: DataFrame, path: str, checkpoint: str, interval: str | None = None, running: bool = True) -> StreamingQuery:
-    """running: counts over all batches; else each batch's own, below batch=<number>."""
-    spark = lines.sparkSession
+    """running: counts over all batches, kept in the state store, of which a batch writes those that it changes; else each
+    batch's own, below batch=<number>."""
     if not running:
         return _start(lines, lambda df, n: _changes(path)(tables.word_count(df), n), checkpoint, "append", interval)
-    table = VersionedTable(spark, path, "word string, count bigint")
-
-    def batch(df: DataFrame, number: int) -> None:
-        table.write(number, lambda old: tables.upsert(old, tables.word_count(df), ["word"], add=["count"]))
-
-    return _start(lines, batch, checkpoint, "append", interval)
+    return _start(tables.word_count(lines), _changes(path, ["word"]), checkpoint, "update", interval)
 
 
 def word_count_table(spark: SparkSession, path: str) -> DataFrame:
-    return VersionedTable(spark, path, "word string, count bigint").read()
+    """The counts so far; empty before the first batch."""
+    return _latest(spark, path, ["word"]) if _written(spark, path) else spark.createDataFrame([], "word string, count bigint")
 
 
 class FlowTables:
@@ -139,9 +143,7 @@ class FlowTables:
         self.places.write(number, lambda old: tables.get_or_create(old, metrics, PANE[2:5]))
         days = self.dates.read(number + 1).where("type = 'day'").select(F.col("id").alias("date_dimension_id"), F.col("calendar").alias("day"))
         rows = tables.with_ids(metrics.join(days, "day"), self.places.read(number + 1), PANE[2:5], "location_dimension_id").withColumn("created", F.current_date())
-        columns = [f.strip("` ").split()[0].strip("`") for f in LOCATION_FLOW.split(",")]
-        rows = rows.select(*[F.col(c).cast("date" if c == "created" else "int").alias(c) for c in columns])
-        self.stats.write(number, lambda old: tables.upsert(old, rows, columns[:2]))
+        self.stats.write(number, lambda old: tables.upsert(old, as_layout(rows, LOCATION_FLOW), ["date_dimension_id", "location_dimension_id"]))
 
 
 def flow_results(events: DataFrame, path: str, checkpoint: str, interval: str | None = None, lateness: str = "2 days", publish: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
@@ -179,7 +181,6 @@ def hot_words_results(events: DataFrame, path: str, checkpoint: str, interval: s
     each batch that has searches; publish gets it too."""
     spark = events.sparkSession
     log, out = _changes(path, PANE), VersionedTable(spark, f"{path}-tables/search_hot_keyword", HOT_KEYWORD)
-    columns = HOT_KEYWORD.replace(",", "").split()[::2]
 
     def batch(df: DataFrame, number: int) -> None:
         log(df, number)
@@ -188,7 +189,7 @@ def hot_words_results(events: DataFrame, path: str, checkpoint: str, interval: s
         panes = _latest(spark, path, PANE)
         newest = panes.agg(F.max("pane")).first()[0]
         top = hotwords.top_words(hotwords.trailing(panes, newest), k)
-        out.write(number, lambda _: top.select(*[F.col(c).cast("int" if c in ("rank", "count") else "string").alias(c) for c in columns]))
+        out.write(number, lambda _: as_layout(top, HOT_KEYWORD))
         if publish:
             publish(out.read())
 
