@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, spread_join, stored
+from .common import remove, spread_join, stored, tidy
 from .tokens import SPACED_LOWER, Words, chunks, mix
 
 SKETCH = 32
 LISTED = 8
 #: Classes in a cell, and values of their sets, at most (but one set is never cut).
-CELL = 256
+CELL = 512
 CELL_VALUES = 4 << 20
 #: Pairs whose sketches are compared at once.
 PAIRS = 8192
@@ -304,7 +304,7 @@ def link(df: DataFrame, length: int = 5, percent: int = 80, id_col: str = "doc_i
     """
     rows, secret = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), secrets.randbits(64)
     schema = "id bigint, n bigint, sig binary, sketch binary, low array<bigint>"
-    sketched = stored(rows.mapInArrow(_sketcher(length, secret), schema), "sketches")
+    sketched = stored(rows.mapInArrow(tidy(_sketcher(length, secret)), schema), "sketches")
     best = F.min(F.struct("id", "n", "sketch", "low"))
     classes = sketched.where("n > 0 AND id IS NOT NULL").groupBy("sig").agg(best.alias("x")).select("sig", F.col("x.id").alias("rep"), "x.n", "x.sketch", "x.low")
     classes = stored(classes, "classes")
@@ -327,10 +327,10 @@ def link(df: DataFrame, length: int = 5, percent: int = 80, id_col: str = "doc_i
     )
     dealt = met.select("sig", "v", F.explode(F.when(F.col("full") <= 1, F.array(F.xxhash64("v"))).otherwise(pairs)).alias("g"))
     dealt = dealt.join(classes.select("sig", "n", "sketch"), "sig").repartition("g").sortWithinPartitions("g")
-    flagged = stored(dealt.select("g", "v", "sig", "n", "sketch").mapInArrow(_flagger(percent), "g bigint, sig binary"), "flagged")
+    flagged = stored(dealt.select("g", "v", "sig", "n", "sketch").mapInArrow(tidy(_flagger(percent)), "g bigint, sig binary"), "flagged")
     wanted = flagged.groupBy("sig").agg(F.collect_set("g").alias("gs")).join(classes.select("sig", F.col("rep").alias("id")), "sig")
-    sets = rows.join(wanted, "id").select("text", "sig", "gs").mapInArrow(_setter(length, secret), "g bigint, sig binary, set binary")
-    edges = sets.repartition("g").sortWithinPartitions("g").mapInArrow(_confirmer(percent), "a binary, b binary")
+    sets = rows.join(wanted, "id").select("text", "sig", "gs").mapInArrow(tidy(_setter(length, secret)), "g bigint, sig binary, set binary")
+    edges = sets.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(_confirmer(percent)), "a binary, b binary")
     found = components(edges)
     of_class = classes.select("sig", "rep").join(found.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     least = of_class.groupBy("root").agg(F.min("rep").alias("component"))
