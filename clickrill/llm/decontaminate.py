@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import small, stored, tidy
 from .tokens import ALNUM_LOWER, chunks
 
 WINDOW = 13
@@ -54,7 +54,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored positional index of docs: (term, ids, positions), an entry of both lists for each occurrence."""
-    return stored(_plain(docs, id_col, text_col, "id").mapInArrow(_postings, "term bigint, ids array<bigint>, positions array<int>"), "postings")
+    return stored(_plain(docs, id_col, text_col, "id").mapInArrow(tidy(_postings), "term bigint, ids array<bigint>, positions array<int>"), "postings")
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,13 +95,13 @@ def _windower(window: int, picked: int):
 def windows(postings: DataFrame, items: DataFrame, window: int = WINDOW, picked: int = PICKED) -> tuple[DataFrame, DataFrame]:
     """(windows, counts): the windows of items (item, text) that may occur, each with its words, its rarest terms and their
     positions; and the occurrences of each test term that there is."""
-    listed = stored(items.dropDuplicates(["item", "text"]).mapInArrow(_item_words, "item bigint, words string, terms array<bigint>"), "items")
+    listed = stored(items.dropDuplicates(["item", "text"]).mapInArrow(tidy(_item_words), "item bigint, words string, terms array<bigint>"), "items")
     vocabulary = stored(listed.select(F.explode("terms").alias("term")).distinct(), "terms")
     counts = stored(postings.join(small(vocabulary), "term").groupBy("term").agg(F.sum(F.size("positions").cast("bigint")).alias("n")), "frequencies")
     at = listed.select("item", "words", "terms", F.posexplode("terms").alias("pos", "term"))
     priced = at.join(counts, "term", "left").groupBy("item", "words", "terms").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("n", F.lit(0)).alias("n")))).alias("x"))
     priced = priced.select("item", "words", "terms", F.transform("x", lambda v: v["n"]).alias("counts"))
-    return stored(priced.mapInArrow(_windower(window, picked), "item bigint, start int, words string, at array<int>, term array<bigint>"), "windows"), counts
+    return stored(priced.mapInArrow(tidy(_windower(window, picked)), "item bigint, start int, words string, at array<int>, term array<bigint>"), "windows"), counts
 
 
 def _agreeing(postings: DataFrame, found: DataFrame, counts: DataFrame, slop: int) -> DataFrame:
@@ -198,7 +198,7 @@ def find(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: s
     of_id = each.groupBy("id").agg(F.collect_set("c").alias("candidates")).withColumnRenamed("id", "_id")
     joined = docs.join(of_id, docs["id"].eqNullSafe(of_id["_id"]), "left").select("id", "text", "candidates")
     match = "array<struct<item:bigint,position:int,length:int>>"
-    return joined.mapInArrow(_verifier(slop), f"id bigint, n_words bigint, n_hit bigint, items array<bigint>, matches {match}, near {match}")
+    return joined.mapInArrow(tidy(_verifier(slop)), f"id bigint, n_words bigint, n_hit bigint, items array<bigint>, matches {match}, near {match}")
 
 
 def _candidate(shift: Column, near: bool) -> Column:

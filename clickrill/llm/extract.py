@@ -25,6 +25,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -298,4 +300,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Empty table: no rows. Null ids and urls are passed on; other columns are left out.
     """
     rows = pages.select(pages[id_col].cast("bigint").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
-    return rows.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.mapInArrow(tidy(_extract), "page_id bigint, url string, text string, n_chars bigint")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import quoted, unused
+from .common import quoted, tidy, unused
 from .tokens import SPACED_LOWER, Words, raw_texts
 
 TRAIN_DOCS = 4000
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Without usable rows: a model that scores every text 0.5."""
     usable = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["_id"])
     chosen = usable.join(docs.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct(), "_id").orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("label", "text").mapInArrow(_features, "label int, features binary").collect()  # max_docs rows of up to TRAIN_LINES lines
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("label", "text").mapInArrow(tidy(_features), "label int, features binary").collect()  # max_docs rows of up to TRAIN_LINES lines
     rows.sort(key=lambda r: (r["label"], bytes(r["features"])))
     if not rows:
         return Model(np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(N_FEATURES), np.ones(N_FEATURES))
@@ -246,4 +246,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     (text,) = unused(docs, "_scored")
     rows = docs.select(*quoted([c for c in keep if c != text_col]), F.col(text_col).alias(text))
     schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
-    return rows.mapInArrow(_scorer(model), schema).select(*[F.col(text).alias(c) if c == text_col else quoted([c])[0] for c in keep], "score")
+    return rows.mapInArrow(tidy(_scorer(model)), schema).select(*[F.col(text).alias(c) if c == text_col else quoted([c])[0] for c in keep], "score")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .tokens import SPACED, Words, chunks, mix
 
 WORDS = 20
@@ -362,15 +362,15 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    return docs.mapInArrow(_compress, "id bigint, k bigint, t bigint, size bigint, z binary")
+    return docs.mapInArrow(tidy(_compress), "id bigint, k bigint, t bigint, size bigint, z binary")
 
 
 def _sent(docs: DataFrame, length: int) -> tuple[DataFrame, np.ndarray]:
     """The places of each document's repeated anchors, and the hot anchors."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     hot = max(HOT_PLACES, total // (2 * HOT_ANCHORS))
-    places = docs.select("k", "t", "text").mapInArrow(_rung1(length), "h bigint, id bigint, t bigint, pos int, n bigint, more binary")
-    again = places.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated(hot), "id bigint, t bigint, pos int")
+    places = docs.select("k", "t", "text").mapInArrow(tidy(_rung1(length)), "h bigint, id bigint, t bigint, pos int, n bigint, more binary")
+    again = places.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_repeated(hot)), "id bigint, t bigint, pos int")
     found = stored(again.groupBy(F.col("id").alias("k"), "t").agg(F.sort_array(F.collect_set("pos")).alias("anchors")), "anchors")
     # at most total / 2 places, and each hot anchor has more than total / 2 / HOT_ANCHORS of them
     listed = found.where(F.col("anchors")[0] < 0).select("k").toArrow().column(0).to_numpy()
@@ -384,7 +384,7 @@ def ladder(df: DataFrame, length: int = WORDS, id_col: str = "doc_id", text_col:
     docs = _keyed(df, id_col, text_col).dropDuplicates(["k", "t"])
     sent, _ = _sent(docs, length)
     candidates = _packed(docs).join(sent, ["k", "t"])
-    names = stored(candidates.select("k", "t", "size", "z", "anchors").mapInArrow(_named(length), "id bigint, t bigint, pos int, name binary"), "rung")
+    names = stored(candidates.select("k", "t", "size", "z", "anchors").mapInArrow(tidy(_named(length)), "id bigint, t bigint, pos int, name binary"), "rung")
     rungs = []
     while True:
         often = names.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").drop("c")
@@ -415,8 +415,8 @@ def dedup(df: DataFrame, length: int = WORDS, id_col: str = "doc_id", text_col:
     docs = _keyed(df, id_col, text_col)
     sent, hot = _sent(docs, length)
     candidates = _packed(docs).join(sent, ["k", "t"]).select("k", "t", "size", "z", "anchors")
-    windows = candidates.mapInArrow(_rung2(length, df.sparkSession.sparkContext.broadcast(hot)), "key bigint, id bigint, t bigint, start int, mask bigint, windows binary")
-    found = windows.repartition("key").sortWithinPartitions("key", "id", "t", "start").mapInArrow(_decide, "id bigint, t bigint, start int, mask bigint")
+    windows = candidates.mapInArrow(tidy(_rung2(length, df.sparkSession.sparkContext.broadcast(hot))), "key bigint, id bigint, t bigint, start int, mask bigint, windows binary")
+    found = windows.repartition("key").sortWithinPartitions("key", "id", "t", "start").mapInArrow(tidy(_decide), "id bigint, t bigint, start int, mask bigint")
     spans = stored(found.groupBy(F.col("id").alias("k"), "t").agg(F.collect_list(F.struct("start", "mask")).alias("spans")), "spans")
     schema = "id bigint, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string, removed array<struct<start:int,stop:int>>"
-    return _packed(docs).join(spans, ["k", "t"], "left").select("id", "size", "z", "spans").mapInArrow(_apply(length), schema)
+    return _packed(docs).join(spans, ["k", "t"], "left").select("id", "size", "z", "spans").mapInArrow(tidy(_apply(length)), schema)

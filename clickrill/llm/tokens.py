@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts of a chunk are hashed together; this many bytes, or one text if that is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _M64 = (1 << 64) - 1
 _SPACE = [0x20, *range(0x09, 0x0E)]
 #: Masks of the first 0 to 8 bytes of a little-endian number.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rank_in, stored
+from .common import rank_in, stored, tidy
 from .sharding import ranges
 
 DATE = "2024-01-01T00:00:00Z"
@@ -143,10 +143,10 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", pa
     roles = narrow.select("key", "sha", "n").join(firsts, ["sha", "n"]).where("key > first OR (key IS NULL AND first IS NOT NULL)").distinct()
     rid = lambda df: df.withColumn("rid", rank_in([tuple(c) for c in cuts], order, "struct<none:int,key:bigint,sha:bigint>"))
     record = "key bigint, url string, sha string, kind int, first bigint, n bigint, member binary"
-    members = rows.select("key", "url", "payload").mapInArrow(_compress, record)
+    members = rows.select("key", "url", "payload").mapInArrow(tidy(_compress), record)
     roles = roles.select("key", F.col("first_url").alias("url"), "sha", F.lit(0).alias("kind"), "first", "n", F.lit(None).cast("binary").alias("member"))
     ranged = rid(members.unionByName(roles)).repartition(min(len(cuts) + 1, TASKS), "rid").sortWithinPartitions("rid", F.col("key").asc_nulls_last(), "sha", "kind", "url")
-    files = ranged.mapInArrow(_roller(prefix, roll_bytes, date), "file string, data binary")
+    files = ranged.mapInArrow(tidy(_roller(prefix, roll_bytes, date)), "file string, data binary")
     tmp = f"{out}/_temporary-{uuid.uuid4().hex}"
     files.select("file", F.col("data").cast("string").alias("data")).write.option("lineSep", "\x00").partitionBy("file").text(f"{tmp}/files")
     _commit(spark, out, tmp)
@@ -243,4 +243,4 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     schema = "key bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
     if not listed:
         return spark.createDataFrame([], schema)
-    return spark.read.format("binaryFile").load([f"{out}/{x}" for x in listed]).select("content").mapInArrow(_records, schema)
+    return spark.read.format("binaryFile").load([f"{out}/{x}" for x in listed]).select("content").mapInArrow(tidy(_records), schema)
