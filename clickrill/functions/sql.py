@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Name, parameters, result and body of each function.
+#: Name, parameters, result and body of each function (fixed values: the first two names).
 FUNCTIONS = [
     ("concat_city_clickCount", "city STRING, n BIGINT", "STRING", "concat(coalesce(city, 'null'), ':', CAST(n AS STRING))"),
     ("group_concat", "parts ARRAY<STRING>", "STRING", "array_join(array_sort(parts), ',')"),

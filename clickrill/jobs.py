@@ -27,7 +27,7 @@ from .sources import readers, sinks
 from .streaming import jobs as streams
 
 
-#: Tables of a --config database: of each batch job's results, and of the streams'.
+#: Tables of a --config database, of each batch job's results, and of the streams'.
 TABLES = {"sessions": "session_aggr_stat", "categories": "top5_category", "areas": "area_top3_product", "flow": "stats_location_flow", "hotwords": "search_hot_keyword"}
 LAYOUTS = {"sessions": SESSION_STAT, "categories": TOP5_CATEGORY, "areas": AREA_TOP3}
 
